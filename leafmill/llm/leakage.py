@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.lookalikes import Lookalikes
-from leafmill.llm.words import WordReader, grams
+from leafmill.llm.words import WordReader, Words, grams
 from leafmill.runtime import load, ship
 
 GRAM, HAN_GRAM = 3, 6
@@ -39,7 +39,9 @@ BLOCK = 8
 MIN_TERMS = 4.0
 MIN_WORDS, MIN_HAN = 10, 20
 SHARE = 1 / 3
-DENSITY = 0.72
+DENSITY = 0.8
+TELLING = 0.35  # weight of the intact terms of a passage, in mean terms of the item a word
+KEPT = 0.15  # share of an item's weight that a third of it still has in one document, with every sixth word changed
 K1, B = 1.2, 0.75
 SHARD = 50_000
 HEAD = 14  # words of a page head or line mark that a passage may run across
@@ -48,7 +50,8 @@ HEAD = 14  # words of a page head or line mark that a passage may run across
 @dataclass
 class ItemIndex:
     item_id: np.ndarray
-    threshold: np.ndarray  # of each item
+    threshold: np.ndarray  # of each item, for a passage
+    total: np.ndarray  # weight of all terms of each item
     terms: np.ndarray  # sorted term numbers
     begin: np.ndarray  # postings of term t: begin[t]:begin[t + 1]
     items: np.ndarray
@@ -58,6 +61,8 @@ class ItemIndex:
     block_max: np.ndarray
     block_threshold: np.ndarray
     words: list[np.ndarray]
+    grams: list[np.ndarray]  # term at each word of the item
+    gram_weight: list[np.ndarray]
     han: list[bool]
 
 
@@ -86,7 +91,15 @@ def build_index(item_ids: list[int], texts: list[str], reader: WordReader) -> It
     edges = np.searchsorted(w.text, np.arange(n + 1))
     words = [w.number[edges[i] : edges[i + 1]] for i in range(n)]
     han = [bool(w.han[edges[i] : edges[i + 1]].mean() > 0.5) if edges[i + 1] > edges[i] else False for i in range(n)]
-    return ItemIndex(np.array(item_ids), threshold, terms, np.append(begin, len(items)), items, weight, block_begin, bterm % blocks, block_max, padded.reshape(blocks, BLOCK).min(1), words, han)
+    mean = total / count
+    its_weight = np.empty(len(number))
+    for k, (t, i) in enumerate(zip(np.searchsorted(terms, number), item)):
+        lo, hi = begin[t], begin[t] + df[t]
+        its_weight[k] = weight[lo + np.searchsorted(items[lo:hi], i)] / mean[i]
+    cut = np.searchsorted(item, np.arange(n + 1))
+    term_at = [number[cut[i] : cut[i + 1]] for i in range(n)]
+    weight_at = [its_weight[cut[i] : cut[i + 1]] for i in range(n)]
+    return ItemIndex(np.array(item_ids), threshold, total, terms, np.append(begin, len(items)), items, weight, block_begin, bterm % blocks, block_max, padded.reshape(blocks, BLOCK).min(1), words, term_at, weight_at, han)
 
 
 def _expand(begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,60 +145,74 @@ def retrieve(index: ItemIndex, number: np.ndarray, pos: np.ndarray, text: np.nda
     pairs, first, inverse = np.unique(passage_no[row] * n + item, return_index=True, return_inverse=True)
     score = np.bincount(inverse, index.weight[entry])
     good = score >= index.threshold[pairs % n] - 1e-9
-    return np.unique(np.stack([doc[row[first[good]]], pairs[good] % n], 1), axis=0)
+    # over all passages of a document that reached the threshold: enough of the item's weight for a third of it
+    mine = good[inverse]
+    pair_doc = doc[row[first]]
+    of = pair_doc[inverse[mine]] * n + item[mine]
+    distinct = np.unique(of * len(index.terms) + term[row[mine]], return_index=True)[1]
+    found, place = np.unique(of[distinct], return_inverse=True)
+    weight = np.bincount(place, index.weight[entry[mine][distinct]], len(found))
+    found = found[weight >= KEPT * index.total[found % n]]
+    return np.stack([found // n, found % n], 1)
 
 
-def _follow(a: np.ndarray, b: np.ndarray, i: int, j: int, step: int) -> tuple[int, int, int]:
-    """Follow equal words from (i, j) in the direction ``step``: the last equal pair and the number of equal words."""
-    equal, li, lj = 0, i, j
-    na, nb = len(a), len(b)
+#: Words to pass over in the item and in the document, and how many must be equal behind: single words changed,
+#: missing or inserted; two such side by side; the head of a page or a mark before a line.
+SKIPS = ((1, 1, 2), (1, 0, 2), (0, 1, 2), (2, 2, 3), (1, 2, 3), (2, 1, 3), (2, 0, 3), (0, 2, 3), *((k, n, 5) for n in range(3, HEAD) for k in (0, 1)))
 
-    def same(x: int, y: int, n: int) -> bool:
-        for k in range(n):
-            p, q = x + step * k, y + step * k
-            if not (0 <= p < na and 0 <= q < nb and a[p] == b[q]):
-                return False
-        return True
 
+def _follow(a: list[int], b: list[int], i: int, j: int, step: int, seen: set[tuple[int, int]]) -> tuple[int, int]:
+    """Follow equal words from (i, j) in the direction ``step``: the last equal word of ``a`` and how many are equal."""
+    equal, last, na, nb = 0, i - step, len(a), len(b)
     while 0 <= i < na and 0 <= j < nb:
         if a[i] == b[j]:
-            equal, li, lj = equal + 1, i, j
+            equal, last = equal + 1, i
+            seen.add((i, j))
             i, j = i + step, j + step
             continue
-        for skip_a, skip_b, need in ((1, 1, 2), (1, 0, 2), (0, 1, 2), (2, 2, 3), (1, 2, 3), (2, 1, 3), (2, 0, 3), (0, 2, 3), *((k, k2, 4) for k2 in range(3, HEAD) for k in (0, 1))):
-            if same(i + step * skip_a, j + step * skip_b, need):
-                i, j = i + step * skip_a, j + step * skip_b
+        for skip_a, skip_b, need in SKIPS:
+            x, y = i + step * skip_a, j + step * skip_b
+            xe, ye = x + step * (need - 1), y + step * (need - 1)
+            if 0 <= x < na and 0 <= y < nb and a[x] == b[y] and 0 <= xe < na and 0 <= ye < nb and all(a[x + step * k] == b[y + step * k] for k in range(1, need)):
+                i, j = x, y
                 break
         else:
             break
-    return li, lj, equal
-
-
-def covered(item: np.ndarray, doc: np.ndarray, least: int, seed: int) -> float:
-    """Share of the item's words that lie in passages of at least ``least`` words that the document holds."""
-    places: dict[bytes, list[int]] = {}
-    item_bytes, doc_bytes = item.tobytes(), doc.tobytes()
-    for i in range(len(item) - seed + 1):
-        places.setdefault(item_bytes[8 * i : 8 * (i + seed)], []).append(i)
-    held = np.zeros(len(item), bool)
-    known = np.isin(doc, item)
-    run = np.cumsum(np.concatenate([[0], known]))
-    done: set[tuple[int, int]] = set()
-    a, b = item.tolist(), doc.tolist()
-    for j in np.flatnonzero(run[seed:] - run[:-seed] == seed) if len(doc) >= seed else ():
-        for i in places.get(doc_bytes[8 * j : 8 * (j + seed)], ()):
-            if (i, int(j)) in done:
+    return last, equal
+
+
+def covered(words: np.ndarray, gram: np.ndarray, weight: np.ndarray, doc: np.ndarray, doc_gram: np.ndarray, doc_pos: np.ndarray, least: int) -> float:
+    """Share of the item's words that lie in passages of at least ``least`` words that the document holds.
+
+    ``gram`` and ``weight``: number and weight, against the item's mean, of the term at each word of the item. A
+    passage made only of terms that many items have is a turn of phrase and no leak."""
+    places: dict[int, list[int]] = {}
+    for i, g in enumerate(gram.tolist()):
+        places.setdefault(g, []).append(i)
+    found = np.isin(doc_gram, gram)
+    present = np.isin(gram, doc_gram[found]) * weight
+    held = np.zeros(len(words), bool)
+    seen: set[tuple[int, int]] = set()
+    a, b = words.tolist(), doc.tolist()
+    for g, j in zip(doc_gram[found].tolist(), doc_pos[found].tolist()):
+        for i in places[g]:
+            if weight[i] < 0.6 or (i, j) in seen:  # a passage is found from its telling terms
                 continue
-            ri, rj, right = _follow(a, b, i, int(j), 1)
-            li, lj, left = _follow(a, b, i - 1, int(j) - 1, -1) if i and j else (i, int(j), 0)
-            if not left:
-                li, lj = i, int(j)
-            done.update((i + k, int(j) + k) for k in range(min(ri - i, rj - int(j)) + 1))
-            if ri - li + 1 >= least and left + right >= DENSITY * (ri - li + 1):
-                held[li : ri + 1] = True
+            right, more = _follow(a, b, i, j, 1, seen)
+            left, fewer = _follow(a, b, i - 1, j - 1, -1, seen)
+            size = right - left + 1
+            if size >= least and more + fewer >= DENSITY * size and present[left : right + 1].sum() >= TELLING * size:
+                held[left : right + 1] = True
     return float(held.mean()) if len(held) else 0.0
 
 
+def held(ix: ItemIndex, item: int, w: Words, number: np.ndarray, pos: np.ndarray, doc: int) -> float:
+    """``covered`` for one text of a batch."""
+    lo, hi = np.searchsorted(w.text, [doc, doc + 1])
+    glo, ghi = np.searchsorted(pos, [lo, hi])
+    return covered(ix.words[item], ix.grams[item], ix.gram_weight[item], w.number[lo:hi], number[glo:ghi], pos[glo:ghi] - lo, MIN_HAN if ix.han[item] else MIN_WORDS)
+
+
 def leaks(docs: DataFrame, items: DataFrame, lookalikes: Lookalikes) -> DataFrame:
     """docs: doc_id, text; items: item_id, text. Out: doc_id, item_id."""
     spark = docs.sparkSession
@@ -208,10 +235,8 @@ def leaks(docs: DataFrame, items: DataFrame, lookalikes: Lookalikes) -> DataFram
                     number, pos = grams(w, GRAM, HAN_GRAM)
                     found = []
                     pairs = retrieve(ix, number, pos, w.text[pos])
-                    edges = np.searchsorted(w.text, np.arange(min(500, len(texts) - lo) + 1))
                     for doc, item in pairs.tolist():
-                        han = ix.han[item]
-                        if covered(ix.words[item], w.number[edges[doc] : edges[doc + 1]], MIN_HAN if han else MIN_WORDS, HAN_GRAM if han else GRAM) >= SHARE:
+                        if held(ix, item, w, number, pos, doc) >= SHARE:
                             found.append((ids[lo + doc], ix.item_id[item]))
                     yield pd.DataFrame(found, columns=["doc_id", "item_id"])
 
