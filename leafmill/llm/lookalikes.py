@@ -22,6 +22,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,6 +176,26 @@ class Rewriter:
         return text
 
 
+def symbol_counts(texts: list[str], strings: list[str]) -> Counter[str]:
+    """Counts of one batch: code points by one bincount over all of them; letter-and-mark sequences only where marks occur."""
+    joined = "\n".join(texts)
+    points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
+    by_point = np.bincount(points)
+    at = np.flatnonzero(by_point)
+    total = Counter({chr(p): int(n) for p, n in zip(at.tolist(), by_point[at].tolist())})
+    small = points < 128
+    both = np.flatnonzero(small[:-1] & small[1:])
+    pairs = np.bincount(points[both] * 128 + points[both + 1], minlength=128 * 128)
+    for s in strings:  # of a longer string at most its rarest pair
+        if s.isascii():
+            total[s] += int(min(pairs[ord(x) * 128 + ord(y)] for x, y in zip(s, s[1:])))
+    if any(unicodedata.combining(c) for c in total if not c.isascii()):
+        hidden = "".join(c for c in total if not c.isascii() and invisible(c))
+        shown = joined.translate(dict.fromkeys(map(ord, hidden))) if hidden else joined
+        total.update(a + b for a, b in MARK.findall(shown))
+    return total
+
+
 def count_symbols(texts: DataFrame, column: str = "text") -> dict[str, int]:
     """Occurrences of each code point, each letter with marks on it and each string that a ligature looks like."""
     ship(texts.sparkSession)
@@ -183,16 +204,13 @@ def count_symbols(texts: DataFrame, column: str = "text") -> dict[str, int]:
         total: Counter[str] = Counter()
         strings = ligature_strings()
         for batch in batches:
-            joined = "\n".join(batch["text"])
-            total.update(joined)
-            total.update({s: n for s in strings if (n := joined.count(s))})
-            if MARK.search(joined) or PLAIN.search(joined):
-                shown = "".join(c for c in joined if c.isascii() or not invisible(c)) if any(invisible(c) for c in total if not c.isascii()) else joined
-                total.update(a + b for a, b in MARK.findall(shown))
+            values = batch["text"].tolist()
+            for lo in range(0, len(values), 1000):
+                total.update(symbol_counts(values[lo : lo + 1000], strings))
         yield pd.DataFrame({"s": list(total), "n": list(total.values())})
 
     rows = texts.select(F.col(column).alias("text")).filter("text is not null").mapInPandas(count, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    return {r.s: r.n for r in rows.collect()}
+    return {r.s: r.n for r in rows.collect() if r.n}
 
 
 def java_class(chars: Iterable[str]) -> str:

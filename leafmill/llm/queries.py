@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import format_duplicates, leakage, lookalikes
+from leafmill.llm import format_duplicates, leakage, lookalikes, reading_level
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": format_duplicates.p2_found, "p5_found": lookalikes.p5_found, "p7_found": leakage.p7_found}
+    return {"p2_found": format_duplicates.p2_found, "p5_found": lookalikes.p5_found, "p7_found": leakage.p7_found, "p8_found": reading_level.p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
