@@ -34,9 +34,6 @@ CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ԌG ԚQ
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv"
 HYPHENS = "‐- ‑-"
 
-MARK = re.compile(r"(.)([̀-ͯ]+)", re.S)
-#: Spark's side of the same: texts that need no look at all hold only these.
-PLAIN = re.compile(r"[^\x00-\x7f]")
 
 
 def invisible(ch: str) -> bool:
@@ -189,10 +186,16 @@ def symbol_counts(texts: list[str], strings: list[str]) -> Counter[str]:
     for s in strings:  # of a longer string at most its rarest pair
         if s.isascii():
             total[s] += int(min(pairs[ord(x) * 128 + ord(y)] for x, y in zip(s, s[1:])))
-    if any(unicodedata.combining(c) for c in total if not c.isascii()):
-        hidden = "".join(c for c in total if not c.isascii() and invisible(c))
-        shown = joined.translate(dict.fromkeys(map(ord, hidden))) if hidden else joined
-        total.update(a + b for a, b in MARK.findall(shown))
+    for k in np.flatnonzero((points >= 0x300) & (points < 0x370)).tolist():
+        if k and 0x300 <= points[k - 1] < 0x370:
+            continue  # counted with the first mark on its letter
+        base, end = k - 1, k
+        while base > 0 and invisible(joined[base]):
+            base -= 1
+        while end < len(joined) and (0x300 <= points[end] < 0x370 or (not joined[end].isascii() and invisible(joined[end]))):
+            end += 1
+        if base >= 0:
+            total[joined[base] + "".join(c for c in joined[k:end] if not invisible(c))] += 1
     return total
 
 
