@@ -12,7 +12,7 @@ them) at random places, with any mark behind the cut. Everything else covers all
 
 Defined results: a null or empty response is ``empty``; a response without letter, digit or Chinese character is too;
 without an English text (null sha, no paragraph, or several: then the smallest) it is judged by itself; versions
-delivered more than once count once; a null seq has no row; very long responses are tagged whole.
+delivered more than once count once (of differing deliveries each verdict has a row); a null seq has no row; very long responses are tagged whole.
 """
 
 from __future__ import annotations
@@ -252,11 +252,16 @@ def verdict(parts: list[str], tags: np.ndarray) -> str | None:
     return "truncated" if tags[-1] == UNFINISHED else None
 
 
-def fit(pairs: DataFrame, aligner: Aligner, rewrites: dict[str, str]) -> tuple[Tagger, Crf]:
-    """pairs: sha, zh, en. The sample is the same for the same data, whatever the partitions."""
-    hashed = pairs.filter("zh is not null").select("zh", "en", F.xxhash64("sha", "zh").alias("h")).distinct()
+def fit(versions: DataFrame, english: DataFrame, aligner: Aligner, rewrites: dict[str, str]) -> tuple[Tagger, Crf]:
+    """versions: sha, zh; english: sha, en. The sample is taken before the join and is the same for the same data,
+    whatever the partitions."""
+    hashed = versions.filter("zh is not null").select("sha", "zh", F.xxhash64("sha", "zh").alias("h"))
     odd = F.col("zh").rlike("(?i)" + REFUSALS.pattern) | (F.regexp_count("zh", F.lit(r"\p{IsHan}")) * 2 < F.length("zh"))
-    rows = hashed.orderBy("h", "zh").limit(SAMPLE).collect() + hashed.filter(odd).orderBy("h", "zh").limit(ODD).collect()
+    # a text has a handful of versions: twice the rows leave enough different ones
+    chosen = [hashed.orderBy("h").limit(2 * SAMPLE).dropDuplicates(["h"]).orderBy("h").limit(SAMPLE), hashed.filter(odd).orderBy("h").limit(2 * ODD).dropDuplicates(["h"]).orderBy("h").limit(ODD)]
+    sample = chosen[0].unionByName(chosen[1])
+    own = english.join(F.broadcast(sample.select("sha").distinct()), "sha", "left_semi")
+    rows = sorted(((r.zh, r.en) for r in sample.join(own, "sha", "left").select("zh", "en").collect()), key=lambda r: (r[0], r[1] or ""))  # at most SAMPLE + ODD
     form = Rewriter(rewrites)
     tagger = Tagger(aligner)
     xs, ys = training(tagger, [(form(r.zh), form(r.en)) for r in rows])
@@ -297,8 +302,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq LONG, defect STRING."""
     paragraphs, log = load(spark, sf_dir, "paragraphs"), load(spark, sf_dir, "translations")
     lookalikes = Lookalikes.fit(paragraphs.select(F.col("en").alias("text")).unionByName(log.select(F.col("zh").alias("text"))), usual_first=True)
-    versions = log.filter("seq is not null").select("seq", F.lower("sha").alias("sha"), "zh").dropDuplicates(["seq"])
+    versions = log.filter("seq is not null").select("seq", F.lower("sha").alias("sha"), "zh")
     en = paragraphs.filter("sha is not null and en is not null").groupBy(F.lower("sha").alias("sha")).agg(F.min("en").alias("en"))
-    pairs = salted_join(versions, en, ["sha"], F.col("seq"))
-    tagger, crf = fit(pairs, fit_glossary(load(spark, sf_dir, "glossary")), lookalikes.rewrites)
-    return defects(pairs, tagger, crf, lookalikes.rewrites)
+    tagger, crf = fit(versions, paragraphs.filter("en is not null").select(F.lower("sha").alias("sha"), "en"), fit_glossary(load(spark, sf_dir, "glossary")), lookalikes.rewrites)
+    # deliveries of one version get one verdict, so they are made one after tagging, where rows are small
+    return defects(salted_join(versions, en, ["sha"], F.col("seq")), tagger, crf, lookalikes.rewrites).distinct()
