@@ -260,11 +260,11 @@ def fit(versions: DataFrame, english: DataFrame, aligner: Aligner, rewrites: dic
     # a text has a handful of versions: twice the rows leave enough different ones
     chosen = [hashed.orderBy("h").limit(2 * SAMPLE).dropDuplicates(["h"]).orderBy("h").limit(SAMPLE), hashed.filter(odd).orderBy("h").limit(2 * ODD).dropDuplicates(["h"]).orderBy("h").limit(ODD)]
     sample = chosen[0].unionByName(chosen[1])
-    own = english.join(F.broadcast(sample.select("sha").distinct()), "sha", "left_semi")
+    own = english.join(F.broadcast(sample.select("sha").distinct()), "sha", "left_semi").groupBy("sha").agg(F.min("en").alias("en"))
     rows = sorted(((r.zh, r.en) for r in sample.join(own, "sha", "left").select("zh", "en").collect()), key=lambda r: (r[0], r[1] or ""))  # at most SAMPLE + ODD
     form = Rewriter(rewrites)
     tagger = Tagger(aligner)
-    xs, ys = training(tagger, [(form(r.zh), form(r.en)) for r in rows])
+    xs, ys = training(tagger, [(form(zh), form(en)) for zh, en in rows])
     return tagger, Crf(5).fit(xs, ys)
 
 
