@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -216,10 +216,6 @@ def count_symbols(texts: DataFrame, column: str = "text") -> dict[str, int]:
     return {r.s: r.n for r in rows.collect() if r.n}
 
 
-def java_class(chars: Iterable[str]) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(set(chars))) + "]"
-
-
 class Lookalikes:
     """The fitted classes of a corpus and the column that rewrites texts to their one form."""
 
@@ -232,7 +228,8 @@ class Lookalikes:
         return cls(texts.sparkSession, build_rewrites(count_symbols(texts, column), usual_first))
 
     def form(self, text: Column) -> Column:
-        """Texts without any character to rewrite stay in the JVM; only the others go to Python."""
+        """ASCII texts stay in the JVM. Of the others Python sends back only those that change: its character sets take
+        one step a character, where Java's take one for each member."""
         if not self.rewrites:
             return text
         rewrites = self.rewrites
@@ -241,10 +238,9 @@ class Lookalikes:
         def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             own = Rewriter(rewrites)
             for batch in batches:
-                yield batch.map(own, na_action="ignore")
+                yield batch.map(lambda t: None if (new := own(t)) == t else new, na_action="ignore")
 
-        pattern = java_class(s[-1] for s in rewrites)
-        return F.coalesce(rewrite(F.when(text.rlike(pattern), text)), text)
+        return F.coalesce(rewrite(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
 
 
 WORDLIKE = r"[\p{L}\p{N}]"
