@@ -25,7 +25,8 @@ def parse_object(raw: Column, schema: str = "map<string,string>") -> Column:
     """One JSON object: the whole reply, else what stands from the first brace to the last; null if neither can be read."""
     t = strip_fences(raw)
     inner = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
-    return F.coalesce(F.from_json(t, schema, STRICT), F.from_json(F.when(inner != "", inner), schema, STRICT))
+    whole = lambda j: F.when(F.get_json_object(j, "$").isNotNull() & j.startswith("{"), j)
+    return F.from_json(F.coalesce(whole(t), whole(inner)), schema, STRICT)
 
 
 def parse_verdicts(raw: Column) -> Column:

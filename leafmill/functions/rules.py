@@ -10,6 +10,7 @@ from leafmill.functions.text import collapse, digit_count, is_upper, strip, toke
 # Patterns that decide what a line or a heading is.
 PAGE_LINE = r"^(\p{Nd}{1,4}|[ivxlcdmIVXLCDM]{1,8})$"
 ROMAN = r"(?i)^m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
+PAGE_TOKEN = r"(?:\p{Nd}+|(?i:(?=[ivxlcdm])m{0,4}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})))"
 CHAPTER_LINE = r"(?i)^(chapter|part|book|section)[ \t\r\n\f\x{a0}]+[\p{L}\p{N}_]"
 TERMINAL = r"[.!?][\"'’”)\]]*$"
 HEADING_NUMBER = r"(?i)^(chapter|part|book)[ \t\r\n\f\x{a0}]+([0-9]+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty)($|[^\p{L}\p{N}_])"
@@ -28,11 +29,8 @@ def is_page_number(token: Column) -> Column:
 
 def head_key(line: Column) -> Column:
     """A line without page numbers at either end, in lower case: the same for a running head on every page."""
-    toks = tokens(line)
-    index = F.sequence(F.lit(1), F.size(toks))
-    kept = F.when(F.size(toks) > 0, F.filter(index, lambda i: ~is_page_number(F.element_at(toks, i))))
-    inner = F.when(F.size(kept) > 0, F.slice(toks, F.element_at(kept, 1), F.element_at(kept, -1) - F.element_at(kept, 1) + 1))
-    return F.coalesce(F.lower(F.array_join(inner, " ")), F.lit(""))
+    head = F.regexp_replace(collapse(line), f"^(?:{PAGE_TOKEN}(?: |$))+", "")
+    return F.lower(F.regexp_replace(head, f"(?:(?:^| ){PAGE_TOKEN})+$", ""))
 
 
 def is_page_line(line: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from leafmill.functions.text import WS, collapse
 
 # What a candidate looks like, words that open sentences, how many candidates and how often.
-CANDIDATE = rf"(?<![\p{{L}}\p{{N}}_])([A-Z][a-zA-Z'.]+(?:{WS}+(?:of{WS}+|the{WS}+|de{WS}+)?[A-Z][a-zA-Z'.]+){{0,3}})(?![\p{{L}}\p{{N}}_])"
+EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"  # a word border in any alphabet
+CANDIDATE = rf"(?<![\p{{L}}\p{{N}}_])([A-Z][a-zA-Z'.]+(?:{WS}+(?:of{WS}+|the{WS}+|de{WS}+)?[A-Z][a-zA-Z'.]+){{0,3}}){EDGE}"
 STOPWORDS = ("The", "A", "An", "But", "And", "He", "She", "It", "They", "I", "In", "On", "At", "By", "For", "To", "Of", "His", "Her", "That", "This", "When", "What", "There", "Then", "If", "As", "So", "Now")
 MOST, LEAST = 180, 3
 AROUND = 60

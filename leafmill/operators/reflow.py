@@ -19,9 +19,9 @@ def lines_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, page, line_no, text. Pages part at form feeds; blank lines at the edges of a page, and empty pages, are no lines."""
     page = docs.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.col(text), "\f")).alias("page", "_page"))
     trimmed = page.withColumn("_lines", F.transform(F.split("_page", "\n"), rstrip))
-    full = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: F.element_at("_lines", i) != "")
+    full = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: F.try_element_at("_lines", i) != "")
     inner = trimmed.withColumn("_full", full).filter(F.size("_full") > 0)
-    cut = inner.withColumn("_lines", F.slice("_lines", F.element_at("_full", 1), F.element_at("_full", -1) - F.element_at("_full", 1) + 1))
+    cut = inner.withColumn("_lines", F.slice("_lines", F.try_element_at("_full", F.lit(1)), F.try_element_at("_full", F.lit(-1)) - F.try_element_at("_full", F.lit(1)) + 1))
     return cut.select(key, "page", F.posexplode("_lines").alias("line_no", "text"))
 
 
@@ -48,13 +48,15 @@ def content_lines(lines: DataFrame, key: str) -> DataFrame:
 
 def full_width(content: DataFrame, key: str) -> DataFrame:
     """key, full: width of a full line, as the order statistic at 92 % (not a percentile, which is one off)."""
-    return content.filter("text <> ''").groupBy(key).agg(F.sort_array(F.collect_list(F.length("text"))).alias("w")).select(key, F.element_at("w", F.floor(F.size("w") * F.lit(FULL_SHARE)).cast("int") + 1).alias("full"))
+    return content.filter("text <> ''").groupBy(key).agg(F.sort_array(F.collect_list(F.length("text"))).alias("w")).select(key, F.try_element_at("w", F.floor(F.size("w") * F.lit(FULL_SHARE)).cast("int") + 1).alias("full"))
 
 
 def paragraphs_of(lines: DataFrame, key: str) -> DataFrame:
     """key, ord, text. A blank line ends a paragraph, and so does a short line that ends a sentence or is a heading."""
-    content = content_lines(lines, key)
-    wide = content.join(full_width(content, key), key)
+    # the order statistic by windows: they need the same partitioning as the islands below, so nothing is read or shuffled twice
+    written, whole = F.col("text") != "", Window.partitionBy(key)
+    ranked = content_lines(lines, key).withColumn("_rank", F.row_number().over(whole.orderBy(F.desc(written), F.length("text")))).withColumn("_n", F.sum(written.cast("int")).over(whole))
+    wide = ranked.withColumn("full", F.max(F.when(F.col("_rank") == F.floor(F.col("_n") * F.lit(FULL_SHARE)) + 1, F.length("text"))).over(whole)).filter("_n > 0")
     t = F.col("text")
     ends = (F.length(t) < F.lit(SHORT_SHARE) * F.col("full")) & (t.rlike(TERMINAL) | t.rlike(CHAPTER_LINE) | (is_upper(t) & (word_count(t) <= 8)))
     order = Window.partitionBy(key).orderBy("page", "line_no")
