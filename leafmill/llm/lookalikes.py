@@ -210,7 +210,8 @@ def count_symbols(texts: DataFrame, column: str = "text") -> dict[str, int]:
             values = batch["text"].tolist()
             for lo in range(0, len(values), 1000):
                 total.update(symbol_counts(values[lo : lo + 1000], strings))
-        yield pd.DataFrame({"s": list(total), "n": list(total.values())})
+        if total:
+            yield pd.DataFrame({"s": list(total), "n": list(total.values())})
 
     rows = texts.select(F.col(column).alias("text")).filter("text is not null").mapInPandas(count, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
     return {r.s: r.n for r in rows.collect() if r.n}

@@ -106,8 +106,8 @@ class Tagger:
         names = []
         for w in set(TOKEN.findall(low)):
             if len(w) >= 4 and not w[0].isdigit():
-                zh, score = self.names.write(w)
-                if score > -0.6 and len(zh) >= 2:
+                zh, _ = self.names.write(w)
+                if len(zh) >= 2:
                     names.append(zh)
         return low, set(LATIN.findall(low)), tail.endswith(("…", "..")), tail.endswith((".", "!", "?", ";", "…")), names
 

@@ -1,7 +1,7 @@
 """How names are written in Chinese: a many-to-many model of letter groups and characters, learned from a glossary.
 
 Each pair (name, characters) is cut into groups of 1 to 5 letters against 1 or 2 characters; expectation-maximisation
-over all cuts gives the probability of characters for a group. A name of the text is then written by its most
+over all cuts gives the probability of each pair of groups. A name of the text is then written by its most
 probable cut. The model is small: its size follows the syllables of the names and not the number of names.
 """
 
@@ -24,30 +24,26 @@ class Transliterator:
     def fit(cls, pairs: list[tuple[str, str]]) -> Transliterator:
         pairs = sorted({(a.lower(), b) for a, b in pairs if a and b and 2 <= len(b) <= len(a) <= 24})
         prob: dict[tuple[str, str], float] = defaultdict(lambda: 1.0)
-        for _ in range(ROUNDS):
+        for k in range(ROUNDS):
             count: dict[tuple[str, str], float] = defaultdict(float)
             for a, b in pairs:
-                cls._expect(a, b, prob, count)
-            total: dict[str, float] = defaultdict(float)
-            for (x, _), n in count.items():
-                total[x] += n
-            # a group seen once is no rule yet: the added mass holds it down
-            prob = defaultdict(lambda: 1e-9, {(x, y): n / (total[x] + 0.5) for (x, y), n in count.items() if n > 1e-3})
+                cls._expect(a, b, prob, count, 0.3 if k < ROUNDS - 3 else 1.0)
+            # joint probabilities: a long group that is seldom can't win over the short ones it is made of
+            total = sum(count.values()) or 1.0
+            prob = defaultdict(lambda: 1e-12, {xy: n / total for xy, n in count.items() if n > 1e-3})
         table: dict[str, list[tuple[str, float]]] = defaultdict(list)
         for (x, y), p in prob.items():
-            if p > 0.02:
-                table[x].append((y, math.log(p)))
+            table[x].append((y, math.log(p)))
         return cls({x: sorted(ys, key=lambda e: -e[1])[:4] for x, ys in table.items()})
 
     @staticmethod
-    def _expect(a: str, b: str, prob: dict[tuple[str, str], float], count: dict[tuple[str, str], float]) -> None:
+    def _expect(a: str, b: str, prob: dict[tuple[str, str], float], count: dict[tuple[str, str], float], shrink: float) -> None:
         n, m = len(a), len(b)
         forward = [[0.0] * (m + 1) for _ in range(n + 1)]
         backward = [[0.0] * (m + 1) for _ in range(n + 1)]
         forward[0][0] = backward[n][m] = 1.0
-        # shorter groups get a factor a step, so that cuts with few and with many groups can be compared
         edges = [(i, j, di, dj) for i in range(n) for j in range(m) for di in range(1, min(MOST_LETTERS, n - i) + 1) for dj in range(1, min(MOST_CHARS, m - j) + 1)]
-        weight = {(i, j, di, dj): prob[a[i : i + di], b[j : j + dj]] * 0.1 ** (di + dj - 2) for i, j, di, dj in edges}
+        weight = {(i, j, di, dj): prob[a[i : i + di], b[j : j + dj]] * shrink ** (di + dj - 2) for i, j, di, dj in edges}
         for i, j, di, dj in edges:
             if forward[i][j]:
                 forward[i + di][j + dj] += forward[i][j] * weight[i, j, di, dj]
@@ -74,7 +70,7 @@ class Transliterator:
                 continue
             for d in range(1, min(MOST_LETTERS, n - i) + 1):
                 for chars, p in self.table.get(name[i : i + d], ()):
-                    s = score + p - 0.3
+                    s = score + p
                     if s > best[i + d][0]:
                         best[i + d] = (s, text + chars)
         score, text = best[n]
