@@ -7,21 +7,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.rules import CHAPTER_LINE, TERMINAL, head_key, is_page_line
-from leafmill.functions.text import despace_numbers, drop_soft_hyphens, is_upper, resplit_glued, rstrip, shred_fraction, strip, word_count
+from leafmill.functions.text import WS, despace_numbers, drop_soft_hyphens, is_upper, resplit_glued, rstrip, shred_fraction, strip, word_count
 
 FULL_SHARE = 0.92
 SHORT_SHARE = 0.80
 HEAD_SHARE, HEAD_LEAST = 0.12, 5
 SHREDDED = 0.015
+#: White space but the line feed.
+BLANK = WS.replace(r"\t-\r", r"\t\x{0b}-\r")
 
 
 def lines_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, page, line_no, text. Pages part at form feeds; blank lines at the edges of a page, and empty pages, are no lines."""
     page = docs.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.col(text), "\f")).alias("page", "_page"))
-    trimmed = page.withColumn("_lines", F.transform(F.split("_page", "\n"), rstrip))
-    full = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: F.try_element_at("_lines", i) != "")
-    inner = trimmed.withColumn("_full", full).filter(F.size("_full") > 0)
-    cut = inner.withColumn("_lines", F.slice("_lines", F.try_element_at("_full", F.lit(1)), F.try_element_at("_full", F.lit(-1)) - F.try_element_at("_full", F.lit(1)) + 1))
+    # blank lines at the edges go before the lines are told apart; each line loses the blanks behind it
+    inner = page.withColumn("_page", F.regexp_replace(F.regexp_replace("_page", f"^(?:{BLANK}*\n)+", ""), f"{WS}+$", "")).filter(F.col("_page") != "")
+    cut = inner.withColumn("_lines", F.transform(F.split("_page", "\n"), rstrip))
     return cut.select(key, "page", F.posexplode("_lines").alias("line_no", "text"))
 
 
@@ -62,12 +63,13 @@ def paragraphs_of(lines: DataFrame, key: str) -> DataFrame:
     order = Window.partitionBy(key).orderBy("page", "line_no")
     flagged = wide.withColumn("_break", (t == "") | ends).withColumn("_start", F.coalesce(F.lag("_break").over(order), F.lit(True)))
     islands = flagged.withColumn("_island", F.sum(F.col("_start").cast("long")).over(order)).filter("text <> ''")
-    grouped = islands.groupBy(key, "_island").agg(F.sort_array(F.collect_list(F.struct("page", "line_no", "text"))).alias("_rows"))
-    glued = F.aggregate(
-        F.transform("_rows", lambda r: r["text"]),
-        F.lit(""),
-        lambda acc, s: F.when(acc == "", s).when(acc.rlike(r"\p{L}-$"), F.concat(F.regexp_replace(acc, "-$", ""), s)).otherwise(F.concat(acc, F.lit(" "), s)),
-    )
+    # a line that ends in a letter and a hyphen loses the hyphen if another follows, which then stands without a blank
+    inside = Window.partitionBy(key, "_island").orderBy("page", "line_no")
+    divided = r"\p{L}-$"
+    before, after = F.lag("text").over(inside), F.lead("text").over(inside)
+    pieces = islands.withColumn("_gap", F.when(before.isNull() | before.rlike(divided), "").otherwise(" ")).withColumn("_own", F.when(after.isNotNull() & t.rlike(divided), F.regexp_replace(t, "-$", "")).otherwise(t))
+    grouped = pieces.groupBy(key, "_island").agg(F.sort_array(F.collect_list(F.struct("page", "line_no", F.concat("_gap", "_own").alias("s")))).alias("_rows"))
+    glued = F.array_join(F.transform("_rows", lambda r: r["s"]), "")
     clean = strip(resplit_glued(despace_numbers(drop_soft_hyphens(glued))))
     out = grouped.select(key, "_island", clean.alias("text"))
     return out.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("_island")) - 1).alias("ord"), "text")

@@ -17,19 +17,17 @@ def pack_units(paragraphs: DataFrame, unit_words: int = UNIT_WORDS) -> DataFrame
     none. The running total starts anew in each unit, so a window sum can't say it; a fold over a file's word counts can."""
     words = word_count(F.col("en"))
     rows = paragraphs.select("book", "file", "idx", words.alias("words")).filter("words > 0")
-    start = F.expr("named_struct('out', cast(array() as array<struct<idx:int,unit:int>>), 'unit', 0, 'sum', cast(0 as bigint))")
+    start = F.expr("named_struct('ends', cast(array() as array<int>), 'sum', cast(0 as bigint))")
 
-    def step(acc, row):
+    def step(acc, row):  # only the last paragraph of each full unit is kept, so the state stays short
         total = acc["sum"] + row["words"]
         full = total >= unit_words
-        return F.struct(
-            F.array_append(acc["out"], F.struct(row["idx"].cast("int").alias("idx"), acc["unit"].alias("unit"))).alias("out"),
-            F.when(full, acc["unit"] + 1).otherwise(acc["unit"]).alias("unit"),
-            F.when(full, F.lit(0).cast("long")).otherwise(total).alias("sum"),
-        )
+        return F.struct(F.when(full, F.array_append(acc["ends"], row["idx"].cast("int"))).otherwise(acc["ends"]).alias("ends"), F.when(full, F.lit(0).cast("long")).otherwise(total).alias("sum"))
 
     files = rows.groupBy("book", "file").agg(F.sort_array(F.collect_list(F.struct("idx", F.col("words").cast("long").alias("words")))).alias("rows"))
-    return files.select("book", "file", F.explode(F.aggregate("rows", start, step)["out"]).alias("p")).select("book", "file", "p.idx", "p.unit")
+    cut = files.select("book", "file", "rows", F.aggregate("rows", start, step)["ends"].alias("ends"))
+    placed = F.transform("rows", lambda r: F.struct(r["idx"].alias("idx"), F.size(F.filter("ends", lambda e: e < r["idx"])).alias("unit")))
+    return cut.select("book", "file", F.explode(placed).alias("p")).select("book", "file", "p.idx", "p.unit")
 
 
 def number_units(packed: DataFrame) -> DataFrame:
