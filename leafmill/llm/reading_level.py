@@ -6,7 +6,7 @@ with high levels and easy ones with low. Levels and difficulties are estimated i
 of every document is the best point of a grid (a pass over the documents); given the levels, the words' parameters
 follow by Newton steps from two sums that the pass has gathered over all documents. The scale starts from graded
 documents, and after each turn it is fixed on them again. Cuts between the grades are the points with the fewest
-grades on the wrong side; between equally good ones the point where documents of any kind are rarest.
+grades on the wrong side; between points about as good (raters err) the one where documents of any kind are rarest.
 
 All corpus counts cover all documents. Only the graded sample is bounded: at most ``GRADED`` graded documents, chosen
 by a hash, are used to fix scale and cuts. The vocabulary is bounded by its document share ``MIN_SHARE``: documents
@@ -39,6 +39,7 @@ MIN_SHARE = 0.003
 GRADED = 20_000
 TURNS = 3
 GRADES = 4
+SLACK = 0.0075  # share of the graded documents by which a cut may be worse than the best and still count as good
 GRID = np.linspace(-3.5, 3.5, 141)
 RIDGE, PRIOR = 1.0, 1.0
 
@@ -175,7 +176,7 @@ def cuts(level: np.ndarray, grade: np.ndarray, mass: np.ndarray) -> np.ndarray:
     out = []
     for g in range(1, GRADES):
         wrong = np.array([((level > c) != (grade > g)).sum() for c in between])
-        best = np.flatnonzero(wrong == wrong.min())
+        best = np.flatnonzero(wrong <= wrong.min() + SLACK * len(grade))
         out.append(between[best[rare[best].argmin()]])
     return np.maximum.accumulate(np.array(out))
 
