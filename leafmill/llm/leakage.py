@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.lookalikes import Lookalikes
-from leafmill.llm.words import WordReader, Words, grams
-from leafmill.runtime import load, ship
+from leafmill.llm.words import WordReader, Words, grams, portions
+from leafmill.runtime import load, ship, tune_arrow
 
 GRAM, HAN_GRAM = 3, 6
 WINDOW, STRIDE = 64, 32
@@ -217,6 +217,7 @@ def leaks(docs: DataFrame, items: DataFrame, lookalikes: Lookalikes) -> DataFram
     """docs: doc_id, text; items: item_id, text. Out: doc_id, item_id."""
     spark = docs.sparkSession
     ship(spark)
+    tune_arrow(spark)
     rows = sorted({(r.item_id, r.text) for r in items.filter("item_id is not null and text is not null").select("item_id", "text").collect()})
     reader = WordReader(lookalikes.rewrites)
     parts = []
@@ -230,8 +231,8 @@ def leaks(docs: DataFrame, items: DataFrame, lookalikes: Lookalikes) -> DataFram
             own, ix = WordReader(rewrites), index.value
             for batch in batches:
                 ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
-                for lo in range(0, len(texts), 500):
-                    w = own.words(texts[lo : lo + 500])
+                for lo, hi in portions(texts):
+                    w = own.words(texts[lo:hi])
                     number, pos = grams(w, GRAM, HAN_GRAM)
                     found = []
                     pairs = retrieve(ix, number, pos, w.text[pos])

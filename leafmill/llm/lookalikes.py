@@ -207,9 +207,12 @@ def count_symbols(texts: DataFrame, column: str = "text") -> dict[str, int]:
         total: Counter[str] = Counter()
         strings = ligature_strings()
         for batch in batches:
-            values = batch["text"].tolist()
-            for lo in range(0, len(values), 1000):
-                total.update(symbol_counts(values[lo : lo + 1000], strings))
+            values, lo, size = batch["text"].tolist(), 0, 0
+            for hi, text in enumerate(values, 1):  # in portions of some million characters
+                size += len(text)
+                if size > 2_000_000 or hi == len(values):
+                    total.update(symbol_counts(values[lo:hi], strings))
+                    lo, size = hi, 0
         if total:
             yield pd.DataFrame({"s": list(total), "n": list(total.values())})
 

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.lookalikes import Lookalikes
-from leafmill.llm.words import WordReader
-from leafmill.runtime import load, ship, stage
+from leafmill.llm.words import WordReader, portions
+from leafmill.runtime import load, ship, stage, tune_arrow
 
 # English function words, by which English text is known.
 FUNCTION_WORDS = "the of and was in it that to with for as a which on at by this under before after near not one had its is are be from his her their they you i we he she there"
@@ -53,8 +53,8 @@ def english_vectors(docs: DataFrame, rewrites: dict[str, str]) -> DataFrame:
         own = WordReader(rewrites)
         function = np.sort(own.words([FUNCTION_WORDS]).number)
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.iloc[lo : lo + 500]
+            for lo, hi in portions(batch["text"].tolist()):
+                part = batch.iloc[lo:hi]
                 w = own.words(part["text"].tolist())
                 n = np.bincount(w.text, minlength=len(part))
                 at = np.minimum(np.searchsorted(function, w.number), len(function) - 1)
@@ -185,6 +185,7 @@ def reading_levels(docs: DataFrame, grades: DataFrame, lookalikes: Lookalikes) -
     """docs: doc_id, text; grades: doc_id, rater, grade. Out: doc_id, grade."""
     spark = docs.sparkSession
     ship(spark)
+    tune_arrow(spark)
     slim = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     raw = stage(english_vectors(slim, lookalikes.rewrites), "vectors")
     documents = raw.count()

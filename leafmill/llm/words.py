@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,6 +103,18 @@ class WordReader:
         return Words(number, np.searchsorted(ends, where, "right"), han[start], where, self.upper[points[start]])
 
 
+def portions(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Slices of a batch of at most ``most`` characters, or one text: what is held in arrays at a time."""
+    lo = size = 0
+    for k, t in enumerate(texts):
+        if k > lo and size + len(t) > most:
+            yield lo, k
+            lo, size = k, 0
+        size += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def grams(w: Words, size: int, han_size: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the word n-grams and Chinese character n-grams, each inside one text, and the word they begin at."""
     out_n, out_p = [], []
