@@ -21,7 +21,7 @@ def lines_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, page, line_no, text. Pages part at form feeds; blank lines at the edges of a page, and empty pages, are no lines."""
     page = docs.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.col(text), "\f")).alias("page", "_page"))
     # blank lines at the edges go before the lines are told apart; each line loses the blanks behind it
-    inner = page.withColumn("_page", F.regexp_replace(F.regexp_replace("_page", f"^(?:{BLANK}*\n)+", ""), f"{WS}+$", "")).filter(F.col("_page") != "")
+    inner = page.withColumn("_page", rstrip(F.regexp_replace("_page", f"^(?:{BLANK}*\n)+", ""))).filter(F.col("_page") != "")
     cut = inner.withColumn("_lines", F.transform(F.split("_page", "\n"), rstrip))
     return cut.select(key, "page", F.posexplode("_lines").alias("line_no", "text"))
 
