@@ -6,24 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def hot_keys(df: DataFrame, keys: list[str], threshold: int) -> DataFrame:
-    """Keys with more than ``threshold`` rows, with their counts. Counting combines on the map side, so a hot key
-    sends one row a task. At most rows/threshold keys come out."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > threshold)
+MOST = 10_000  # hot keys there can be: the list is broadcast
 
 
-def null_safe_equal(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def hot_keys(df: DataFrame, keys: list[str], threshold: int) -> DataFrame:
+    """Keys with more than ``threshold`` rows, with their counts. Counting combines on the map side, so a hot key
+    sends one row a task. The threshold grows with the table, so that never more than ``MOST`` keys come out."""
+    least = max(threshold, -(-df.count() // MOST))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least)
 
 
 def salted_join(facts: DataFrame, unique: DataFrame, keys: list[str], spread: Column, threshold: int = 100_000, salts: int = 32, how: str = "left") -> DataFrame:
     """Join many rows a key (``facts``) with at most one row a key (``unique``).
 
     Keys above ``threshold`` rows get a salt from ``spread`` on the facts' side; the unique side is repeated once a
-    salt for those keys only. The other keys keep salt 0. The list of hot keys is at most rows/threshold long."""
+    salt for those keys only. The other keys keep salt 0."""
     hot = hot_keys(facts.select(*keys), keys, threshold).select(*keys, F.lit(True).alias("_hot"))
     salted = facts.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))

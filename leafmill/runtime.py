@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import io
-import os
 import tempfile
 import uuid
 import zipfile
@@ -81,10 +80,13 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
         for path in sorted(root.rglob("*.py")):
             archive.write(path, str(Path(root.name) / path.relative_to(root)))
-    staged = tempfile.mkdtemp(prefix="leafmill-ship-")  # Spark copies it from the driver to every executor
-    atexit.register(_remove_local, staged)
-    target = os.path.join(staged, "leafmill_pkg.zip")
-    Path(target).write_bytes(data.getvalue())
+    target = f"{scratch(spark, 'package')}/leafmill_pkg.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, False)
+    try:
+        out.write(data.getvalue())
+    finally:
+        out.close()
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)
 

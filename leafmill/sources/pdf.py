@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import shutil
 import subprocess
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,11 +30,8 @@ def texts(spark: SparkSession, path: str, timeout: int = 600) -> DataFrame:
         for batch in batches:
             rows = []
             for source, content in zip(batch["source_path"], batch["content"]):
-                with tempfile.NamedTemporaryFile(suffix=".pdf") as f:  # the program reads files only; gone with the task
-                    f.write(content)
-                    f.flush()
-                    say = lambda *flags: subprocess.run(["pdftotext", "-q", *flags, f.name, "-"], capture_output=True, text=True, timeout=timeout).stdout  # noqa: B023, E731
-                    rows.append((source, say("-f", "1", "-l", "12"), say(), say("-raw")))
+                say = lambda *flags: subprocess.run(["pdftotext", "-q", *flags, "-", "-"], input=content, capture_output=True, timeout=timeout).stdout.decode("utf-8", "replace")  # noqa: B023, E731
+                rows.append((source, say("-f", "1", "-l", "12"), say(), say("-raw")))
             yield pd.DataFrame(rows, columns=["source_path", "opening", "normal", "raw"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(path)
