@@ -55,7 +55,7 @@ REFUSALS = re.compile(
     re.I,
 )
 #: Marks that may stand behind a break, for the clauses that are cut to fit the field.
-BREAKS = (*("", "……", "...", "、", "，", "“", "（未完", " [截断]") * 2, "——", "；", "。")
+BREAKS = (*("", "……", "...", "、", "，", "“", "（未完", " [截断]") * 4, "——", "；", "。")
 
 
 def clauses(text: str) -> list[str]:
@@ -143,7 +143,7 @@ class Tagger:
             f.append(f"size{min(4, letters // 6)}")
             if k == len(parts) - 1:
                 f.append("last")
-                if han and not other:
+                if (han or not letters) and not other:
                     f += self.ending(part, trails, ended, names, len(parts))
             out.append(f)
         return out
@@ -228,7 +228,7 @@ def training(tagger: Tagger, rows: list[tuple[str, str | None]], seed: int = 5)
             body = whole[: len(whole) - len(END.search(whole).group())]
             cut = rng.random() < 0.5 and len(body) >= 4
             if cut:
-                keep[-1] = body[: rng.randint(2, len(body) - 1)] + rng.choice(BREAKS)
+                keep[-1] = body[: rng.randint(1, len(body) - 1)] + rng.choice(BREAKS)
             elif len(parts) == 1:
                 continue
             trails = False
