@@ -153,9 +153,9 @@ select book, case when a = '' then 'book' else a end as path_slug, case when b =
     "han_latin_counts": f"select distinct seq, {HAN} as han, {LAT} as latin from translations",
     "meta_flags": f"select distinct seq, regexp_matches(zh, {q(META)}) as meta, {USABLE} as usable from translations",
     "json_tolerant": "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events",
-    "lines": f"with {LINES} select doc_id, page, line_no, text from lines",
+    "lines": f"with {LINES} select doc_id, page::int as page, line_no::int as line_no, text from lines",
     "head_keys": f"with {KEYS} select key, count(*) as n from keyed group by 1",
-    "line_kinds": f"with {LINES}, t as (select *, {strip('text')} as p from lines) select doc_id, page, line_no, regexp_matches(p, {q(PAGE_LINE)}) as page_number, {HEADING} as heading, {TITLE} as title from t",
+    "line_kinds": f"with {LINES}, t as (select *, {strip('text')} as p from lines) select doc_id, page::int as page, line_no::int as line_no, regexp_matches(p, {q(PAGE_LINE)}) as page_number, {HEADING} as heading, {TITLE} as title from t",
     "running_heads": f"with {HEADS} select doc_id, head, n from running",
     "full_width": f"with {CONTENT} select doc_id, width from full_widths",
     "reflow_paragraphs": f"with {REFLOW} select doc_id, ord, md5(text) as digest from paragraphs_of",
@@ -177,7 +177,7 @@ h as (select doc_id, island, text, row_number() over (partition by doc_id, islan
 f as (select doc_id, island, k, text as title from h where k = 1 union all select h.doc_id, h.island, h.k, case when len(f.title) < 80 then f.title || ': ' || h.text else f.title end from f join h on h.doc_id = f.doc_id and h.island = f.island and h.k = f.k + 1),
 t as (select doc_id, island, max_by(title, k) as title from f group by all),
 r as (select b.doc_id, case when lone then 0 else b.island end as island, b.text, case when lone then '' else coalesce(t.title, '') end as title from b left join t on t.doc_id = b.doc_id and t.island = b.island where lone or (has_body and not head))
-select doc_id, dense_rank() over (partition by doc_id order by island) as section, title, count(*) as paragraphs, sum(len(text)) as chars from r group by doc_id, island, title""",
+select doc_id, dense_rank() over (partition by doc_id order by island) as section, title, count(*) as paragraphs, sum(len(text))::bigint as chars from r group by doc_id, island, title""",
     "unit_packing": f"with {PACK} select p.book, p.file, p.idx::bigint as idx, p.unit::bigint as unit, (u0 + unit + 1)::bigint as unit_id, (p0 + k)::bigint as par_id from packed p join offsets using (book, file)",
     "latest_translations": f"with {NOW} select sha, seq, md5(zh) as zh, qa_state from cur",
     "latest_units": f"with {UNITS_NOW} select id, state, attempts from cur_units",
