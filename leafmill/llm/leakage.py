@@ -1,18 +1,21 @@
 """Evaluation texts leaking into training text (problem 7).
 
-A BM25 inverted index of the test items, whose terms are runs of three words (six Chinese characters), with the
-postings of each term in blocks of items and the largest weight of each block (block-max WAND). Every passage of every
-document, a window of 64 words that overlaps the next by half, is a query. For a whole batch of passages at once: the sum of block
-maxima bounds every score in a block, blocks whose bound is below the threshold are skipped, the rest are scored
-exactly, and all items at or above the threshold come out, none capped. An item's threshold is the weight of
-``MIN_TERMS`` of its average terms, which any passage of ten running words with a changed word still has.
+Items and documents are read as runs of three words (four Chinese characters), the terms. Every place where a document
+and an item hold the same term is followed in both directions along equal words, across single changed, missing or
+inserted words and across page heads. Passages of at least ten words (twenty Chinese characters), of which ``DENSITY``
+are equal, count, and they must cover a third of the item. Terms that many items have are turns of phrase: a passage
+whose intact terms, however few, are such on average doesn't count. So nothing need be followed from them.
 
-Retrieved items are verified against the whole document: runs of equal words are followed across single changed,
-missing or inserted words and across page heads; passages of at least ten words (twenty Chinese characters) count, and
-they must cover a third of the item.
+No bound stands before that: ten words of which two are changed lie in at most three runs, one of them of three words
+or more; twenty characters of which four are changed lie in five runs, one of them of four or more. So a passage that
+counts has one intact term at least, and marks inside it may leave no more than that. All places of a batch are
+followed at once in arrays, and most end after one step.
 
-No shuffle: documents are read once. The items are held-out test material of a fixed size; beyond ``SHARD`` items the
-index is split and the documents are read once for each part.
+No shuffle: documents are read once. The items are held-out test material of a fixed size; beyond ``SHARD`` items they
+are split and the documents are read once for each part.
+
+``build_index`` and ``retrieve`` score passages by BM25 over the same terms with block maxima as bounds. ``leaks`` does
+not use them: a least score drops passages with few intact terms.
 
 Defined results: null texts and null ids hold nothing; empty texts hold nothing; repeated document rows give the same
 rows once; items without enough words for one term cannot leak; ties don't matter since nothing is ranked.
@@ -33,18 +36,20 @@ from leafmill.llm.lookalikes import Lookalikes
 from leafmill.llm.words import WordReader, Words, grams, portions
 from leafmill.runtime import load, ship, tune_arrow
 
-GRAM, HAN_GRAM = 3, 6
+GRAM, HAN_GRAM = 3, 4
 WINDOW, STRIDE = 64, 32
 BLOCK = 8
 MIN_TERMS = 4.0
 MIN_WORDS, MIN_HAN = 10, 20
 SHARE = 1 / 3
 DENSITY = 0.8
-TELLING = 0.35  # weight of the intact terms of a passage, in mean terms of the item a word
-KEPT = 0.15  # share of an item's weight that a third of it still has in one document, with every sixth word changed
+TELLING = 0.6  # weight, in mean terms of the item, of a term that is no turn of phrase, and of a passage's intact terms on average
+KEPT = 0.15  # share of an item's weight that ``retrieve`` asks for
 K1, B = 1.2, 0.75
 SHARD = 50_000
 HEAD = 14  # words of a page head or line mark that a passage may run across
+PAD = 2 * HEAD  # places between two texts, more than a passage may run across
+PLACES = 1 << 18  # places followed at a time
 
 
 @dataclass
@@ -60,10 +65,6 @@ class ItemIndex:
     blocks: np.ndarray
     block_max: np.ndarray
     block_threshold: np.ndarray
-    words: list[np.ndarray]
-    grams: list[np.ndarray]  # term at each word of the item
-    gram_weight: list[np.ndarray]
-    han: list[bool]
 
 
 def build_index(item_ids: list[int], texts: list[str], reader: WordReader) -> ItemIndex:
@@ -88,18 +89,7 @@ def build_index(item_ids: list[int], texts: list[str], reader: WordReader) -> It
     block_begin = np.searchsorted(bterm, np.arange(len(terms) + 1) * blocks)
     padded = np.full(blocks * BLOCK, np.inf)
     padded[:n] = threshold
-    edges = np.searchsorted(w.text, np.arange(n + 1))
-    words = [w.number[edges[i] : edges[i + 1]] for i in range(n)]
-    han = [bool(w.han[edges[i] : edges[i + 1]].mean() > 0.5) if edges[i + 1] > edges[i] else False for i in range(n)]
-    mean = total / count
-    its_weight = np.empty(len(number))
-    for k, (t, i) in enumerate(zip(np.searchsorted(terms, number), item)):
-        lo, hi = begin[t], begin[t] + df[t]
-        its_weight[k] = weight[lo + np.searchsorted(items[lo:hi], i)] / mean[i]
-    cut = np.searchsorted(item, np.arange(n + 1))
-    term_at = [number[cut[i] : cut[i + 1]] for i in range(n)]
-    weight_at = [its_weight[cut[i] : cut[i + 1]] for i in range(n)]
-    return ItemIndex(np.array(item_ids), threshold, total, terms, np.append(begin, len(items)), items, weight, block_begin, bterm % blocks, block_max, padded.reshape(blocks, BLOCK).min(1), words, term_at, weight_at, han)
+    return ItemIndex(np.array(item_ids), threshold, total, terms, np.append(begin, len(items)), items, weight, block_begin, bterm % blocks, block_max, padded.reshape(blocks, BLOCK).min(1))
 
 
 def _expand(begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,56 +151,135 @@ def retrieve(index: ItemIndex, number: np.ndarray, pos: np.ndarray, text: np.nda
 SKIPS = ((1, 1, 2), (1, 0, 2), (0, 1, 2), (2, 2, 3), (1, 2, 3), (2, 1, 3), (2, 0, 3), (0, 2, 3), *((k, n, 5) for n in range(3, HEAD) for k in (0, 1)))
 
 
-def _follow(a: list[int], b: list[int], i: int, j: int, step: int, seen: set[tuple[int, int]]) -> tuple[int, int]:
-    """Follow equal words from (i, j) in the direction ``step``: the last equal word of ``a`` and how many are equal."""
-    equal, last, na, nb = 0, i - step, len(a), len(b)
-    while 0 <= i < na and 0 <= j < nb:
-        if a[i] == b[j]:
-            equal, last = equal + 1, i
-            seen.add((i, j))
-            i, j = i + step, j + step
+@dataclass
+class Spread:
+    """Texts one behind the other with ``PAD`` places between them, which equal nothing on the other side."""
+
+    word: np.ndarray
+    two: np.ndarray  # number of this word and the next
+    term: np.ndarray  # number of the term that begins here
+    text: np.ndarray
+    start: np.ndarray  # sorted places at which terms begin
+
+
+def spread(w: Words, texts: int, number: np.ndarray, pos: np.ndarray, nothing: int) -> Spread:
+    at = np.arange(len(w.number)) + PAD * (w.text + 1)
+    word = np.full(len(at) + PAD * (texts + 1), nothing, np.uint64)
+    term, text = word.copy(), np.zeros(len(word), np.int64)
+    word[at], term[at[pos]], text[at] = w.number, number, w.text
+    with np.errstate(over="ignore"):
+        two = word * np.uint64(0x9E3779B97F4A7C15)
+        two[:-1] ^= word[1:] * np.uint64(0xBF58476D1CE4E5B9)
+    return Spread(word, two, term, text, at[pos])
+
+
+@dataclass
+class Items:
+    item_id: np.ndarray
+    words: Spread  # with the telling terms
+    every: np.ndarray  # term at each place, whatever its weight
+    weight: np.ndarray  # its weight
+    terms: np.ndarray  # sorted numbers of the telling terms
+    begin: np.ndarray  # places of term t: begin[t]:begin[t + 1]
+    places: np.ndarray
+    size: np.ndarray  # words of each item
+    first: np.ndarray  # place of its first word
+    least: np.ndarray  # words of a passage of it
+
+
+def weights(number: np.ndarray, item: np.ndarray, n: int) -> np.ndarray:
+    """Weight of each term at its place in an item, in mean terms of the item: the rarer among the items, the more."""
+    key, place = np.unique(np.stack([number, item.astype(np.uint64)]), axis=1, return_inverse=True)
+    _, of, df = np.unique(key[0], return_inverse=True, return_counts=True)
+    items = key[1].astype(np.int64)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))[of]
+    mean = np.bincount(items, idf, n) / np.maximum(np.bincount(items, minlength=n), 1)
+    return (idf / mean[items])[place.ravel()]
+
+
+def read_items(item_ids: list[int], texts: list[str], reader: WordReader) -> Items:
+    w = reader.words(texts)
+    number, pos = grams(w, GRAM, HAN_GRAM)
+    weight = weights(number, w.text[pos], len(texts))
+    every = spread(w, len(texts), number, pos, 0)
+    share = np.zeros(len(every.term))
+    share[every.start] = weight
+    number, pos = number[weight >= TELLING], pos[weight >= TELLING]
+    words = spread(w, len(texts), number, pos, 0)
+    order = np.argsort(number, kind="stable")
+    terms, begin = np.unique(number[order], return_index=True)
+    size = np.bincount(w.text, minlength=len(texts))
+    han = np.bincount(w.text, w.han, len(texts)) > 0.5 * size
+    first = np.cumsum(size) - size + PAD * np.arange(1, len(texts) + 1)
+    return Items(np.array(item_ids), words, every.term, share, terms, np.append(begin, len(number)), words.start[order], size, first, np.where(han, MIN_HAN, MIN_WORDS))
+
+
+def _follow(a: Spread, b: Spread, i: np.ndarray, j: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Follow equal words from each (i, j) in the direction ``step``: the last equal word of ``a`` and how many are equal."""
+    i, j, last, equal = i.copy(), j.copy(), i - step, np.zeros(len(i), np.int64)
+    first = min(step, 0)  # of two words in the direction, the one that stands first
+    going = np.arange(len(i))
+    while len(going):
+        x, y = i[going], j[going]
+        same = a.word[x] == b.word[y]
+        on = going[same]
+        last[on] = i[on]
+        equal[on] += 1
+        i[on] += step
+        j[on] += step
+        rest, x, y = going[~same], x[~same], y[~same]
+        if not len(rest):
+            going = on
             continue
+        left = np.ones(len(rest), bool)
+        ahead: dict[int, np.ndarray] = {k: a.two[x + step * k + first] for k in range(3)}
+        behind: dict[int, np.ndarray] = {k: b.two[y + step * k + first] for k in range(HEAD)}
         for skip_a, skip_b, need in SKIPS:
-            x, y = i + step * skip_a, j + step * skip_b
-            xe, ye = x + step * (need - 1), y + step * (need - 1)
-            if 0 <= x < na and 0 <= y < nb and a[x] == b[y] and 0 <= xe < na and 0 <= ye < nb and all(a[x + step * k] == b[y + step * k] for k in range(1, need)):
-                i, j = x, y
-                break
-        else:
-            break
+            c = np.flatnonzero(ahead[skip_a] == behind[skip_b])
+            c = c[left[c]]
+            for k in range(2, need):
+                c = c[a.word[x[c] + step * (skip_a + k)] == b.word[y[c] + step * (skip_b + k)]]
+            left[c] = False
+            i[rest[c]] += step * skip_a
+            j[rest[c]] += step * skip_b
+        going = np.concatenate([on, rest[~left]])
     return last, equal
 
 
-def covered(words: np.ndarray, gram: np.ndarray, weight: np.ndarray, doc: np.ndarray, doc_gram: np.ndarray, doc_pos: np.ndarray, least: int) -> float:
-    """Share of the item's words that lie in passages of at least ``least`` words that the document holds.
-
-    ``gram`` and ``weight``: number and weight, against the item's mean, of the term at each word of the item. A
-    passage made only of terms that many items have is a turn of phrase and no leak."""
-    places: dict[int, list[int]] = {}
-    for i, g in enumerate(gram.tolist()):
-        places.setdefault(g, []).append(i)
-    found = np.isin(doc_gram, gram)
-    present = np.isin(gram, doc_gram[found]) * weight
-    held = np.zeros(len(words), bool)
-    seen: set[tuple[int, int]] = set()
-    a, b = words.tolist(), doc.tolist()
-    for g, j in zip(doc_gram[found].tolist(), doc_pos[found].tolist()):
-        for i in places[g]:
-            if weight[i] < 0.6 or (i, j) in seen:  # a passage is found from its telling terms
-                continue
-            right, more = _follow(a, b, i, j, 1, seen)
-            left, fewer = _follow(a, b, i - 1, j - 1, -1, seen)
-            size = right - left + 1
-            if size >= least and more + fewer >= DENSITY * size and present[left : right + 1].sum() >= TELLING * size:
-                held[left : right + 1] = True
-    return float(held.mean()) if len(held) else 0.0
-
-
-def held(ix: ItemIndex, item: int, w: Words, number: np.ndarray, pos: np.ndarray, doc: int) -> float:
-    """``covered`` for one text of a batch."""
-    lo, hi = np.searchsorted(w.text, [doc, doc + 1])
-    glo, ghi = np.searchsorted(pos, [lo, hi])
-    return covered(ix.words[item], ix.grams[item], ix.gram_weight[item], w.number[lo:hi], number[glo:ghi], pos[glo:ghi] - lo, MIN_HAN if ix.han[item] else MIN_WORDS)
+def held(items: Items, docs: Spread) -> np.ndarray:
+    """(text, item) of which the text holds passages that cover ``SHARE`` of the item."""
+    a = items.words
+    number = docs.term[docs.start]
+    at = np.searchsorted(items.terms, number)
+    at[at == len(items.terms)] = 0
+    hit = np.flatnonzero(items.terms[at] == number) if len(items.terms) else np.zeros(0, np.int64)
+    term, where = at[hit], docs.start[hit]
+    passages = [np.zeros((0, 3), np.int64)]
+    turn = np.cumsum(items.begin[term + 1] - items.begin[term]) // PLACES
+    for lo, hi in zip(*(np.searchsorted(turn, np.unique(turn), side) for side in ("left", "right"))):
+        row, entry = _expand(items.begin, term[lo:hi])
+        i, j = items.places[entry], where[lo:hi][row]
+        begins = a.term[i - 1] != docs.term[j - 1]  # else the place before is in the same run
+        i, j = i[begins], j[begins]
+        right, more = _follow(a, docs, i, j, 1)
+        left, fewer = _follow(a, docs, i - 1, j - 1, -1)
+        size = right - left + 1
+        good = (size >= items.least[a.text[i]]) & (more + fewer >= DENSITY * size - 1e-9)
+        passages.append(np.stack([docs.text[j[good]], left[good], right[good]], 1))
+    by_pair: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for doc, left, right in np.unique(np.concatenate(passages), axis=0).tolist():
+        by_pair.setdefault((doc, int(a.text[left])), []).append((left, right))
+    found, texts = [], docs.text[docs.start]
+    for (doc, item), parts in by_pair.items():
+        of = np.zeros(items.size[item], bool)
+        own = docs.term[docs.start[slice(*np.searchsorted(texts, [doc, doc + 1]))]]
+        for left, right in parts:
+            intact = np.isin(items.every[left : right + 1], own)
+            if items.weight[left : right + 1][intact].mean() >= TELLING:
+                of[left - items.first[item] : right - items.first[item] + 1] = True
+        if of.mean() >= SHARE:
+            found.append((doc, item))
+    return np.array(found, np.int64).reshape(-1, 2)
 
 
 def leaks(docs: DataFrame, items: DataFrame, lookalikes: Lookalikes) -> DataFrame:
@@ -224,22 +293,17 @@ def leaks(docs: DataFrame, items: DataFrame, lookalikes: Lookalikes) -> DataFram
     slim = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for first in range(0, len(rows), SHARD):
         shard = rows[first : first + SHARD]
-        index = spark.sparkContext.broadcast(build_index([r[0] for r in shard], [r[1] for r in shard], reader))
+        shared = spark.sparkContext.broadcast(read_items([r[0] for r in shard], [r[1] for r in shard], reader))
         rewrites = lookalikes.rewrites
 
-        def find(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            own, ix = WordReader(rewrites), index.value
+        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            own, known = WordReader(rewrites), shared.value
             for batch in batches:
                 ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
                 for lo, hi in portions(texts):
                     w = own.words(texts[lo:hi])
-                    number, pos = grams(w, GRAM, HAN_GRAM)
-                    found = []
-                    pairs = retrieve(ix, number, pos, w.text[pos])
-                    for doc, item in pairs.tolist():
-                        if held(ix, item, w, number, pos, doc) >= SHARE:
-                            found.append((ids[lo + doc], ix.item_id[item]))
-                    yield pd.DataFrame(found, columns=["doc_id", "item_id"])
+                    pairs = held(known, spread(w, hi - lo, *grams(w, GRAM, HAN_GRAM), 1))
+                    yield pd.DataFrame({"doc_id": ids[lo + pairs[:, 0]], "item_id": known.item_id[pairs[:, 1]]})
 
         parts.append(slim.mapInPandas(find, "doc_id long, item_id long"))
     if not parts:

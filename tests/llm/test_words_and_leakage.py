@@ -105,3 +105,68 @@ def test_chinese_passages(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     assert [tuple(r) for r in leakage.leaks(d, spark.createDataFrame([(7, item)], "item_id long, text string"), Lookalikes.fit(d, usual_first=True)).collect()] == [(1, 7)]
     assert np.isfinite(1.0)
+
+
+def plain(a, b, i, j, step):
+    """Equal words from (i, j) on, one pair of texts at a time."""
+    equal, last = 0, i - step
+    while 0 <= i < len(a) and 0 <= j < len(b):
+        if a[i] == b[j]:
+            equal, last, i, j = equal + 1, i, i + step, j + step
+            continue
+        for skip_a, skip_b, need in leakage.SKIPS:
+            at = [(i + step * (skip_a + k), j + step * (skip_b + k)) for k in range(need)]
+            if all(0 <= x < len(a) and 0 <= y < len(b) and a[x] == b[y] for x, y in at):
+                i, j = at[0]
+                break
+        else:
+            break
+    return last, equal
+
+
+def share(a, b, gram, least):
+    of = set()
+    for i in range(len(a) - gram + 1):
+        for j in range(len(b) - gram + 1):
+            if a[i : i + gram] == b[j : j + gram]:
+                (right, more), (left, fewer) = plain(a, b, i, j, 1), plain(a, b, i - 1, j - 1, -1)
+                if right - left + 1 >= least and more + fewer >= leakage.DENSITY * (right - left + 1) - 1e-9:
+                    of |= set(range(left, right + 1))
+    return len(of) / len(a)
+
+
+def found(spark, docs, items):
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    return {tuple(r) for r in leakage.leaks(d, i, Lookalikes.fit(d, usual_first=True)).collect()}
+
+
+def test_every_pair_that_verification_accepts(spark):
+    rng = random.Random(8)
+    few = [f"w{k}x" for k in range(400)]
+    draw = lambda n: [rng.choice(few) for _ in range(n)]
+    items = [draw(rng.choice((30, 45, 60))) for _ in range(12)]
+    docs = []
+    for d in range(60):
+        text = draw(120)
+        for item in rng.sample(items, 2):
+            n = rng.choice((10, 11, 15, 20, 25))
+            at = rng.randrange(len(item) - n + 1)
+            part = item[at : at + n]
+            for k in range(rng.randint(2, 4), n - 2, rng.choice((4, 5, 6))):
+                part[k] = rng.choice(("changed", "", "12 " + part[k]))
+            text[40:40] = part
+        docs.append(" ".join(text))
+    want = {(d, i) for d, t in enumerate(docs) for i, words in enumerate(items) if share(words, t.split(), leakage.GRAM, leakage.MIN_WORDS) >= leakage.SHARE}
+    assert len(want) > 20 and found(spark, list(enumerate(docs)), [(i, " ".join(w)) for i, w in enumerate(items)]) == want
+
+
+def test_leaks_with_few_intact_terms(spark):
+    item, short = sentence(72), sentence(30)
+    han = "".join(chr(0x4E00 + 7 * k) for k in range(90))
+    third, ten = item[20:46], short[8:18]
+    third[4:-1:5], ten[3:-3:4] = ["changed"] * len(third[4:-1:5]), ["changed"] * len(ten[3:-3:4])
+    tenth, fifth = list(han[30:61]), list(han[30:64])
+    tenth[5::10], fifth[4:-2:5] = "一" * len(tenth[5::10]), "一" * len(fifth[4:-2:5])
+    around = lambda words: " ".join([*sentence(90), *words, *sentence(90)])
+    docs = [(1, around(third)), (2, around(ten)), (3, "前言" + "".join(tenth) + "后记"), (4, "前言" + "".join(fifth) + "后记"), (5, around(item[20:29]))]
+    assert found(spark, docs, [(1, " ".join(item)), (2, " ".join(short)), (3, han)]) == {(1, 1), (2, 2), (3, 3), (4, 3)}
