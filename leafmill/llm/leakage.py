@@ -12,7 +12,7 @@ counts has one intact term at least, and marks inside it may leave no more than
 followed at once in arrays, and most end after one step.
 
 No shuffle: documents are read once. The items are held-out test material of a fixed size; beyond ``SHARD`` items they
-are split and the documents are read once for each part.
+are split and the documents are read once for each part; how common a term is is counted over all items before.
 
 ``build_index`` and ``retrieve`` score passages by BM25 over the same terms with block maxima as bounds. ``leaks`` does
 not use them: a least score drops passages with few intact terms.
@@ -187,20 +187,41 @@ class Items:
     least: np.ndarray  # words of a passage of it
 
 
-def weights(number: np.ndarray, item: np.ndarray, n: int) -> np.ndarray:
-    """Weight of each term at its place in an item, in mean terms of the item: the rarer among the items, the more."""
+@dataclass
+class Common:
+    items: int
+    terms: np.ndarray  # sorted numbers of the terms that several items have
+    df: np.ndarray
+
+
+def common(texts: list[str], reader: WordReader) -> Common:
+    """How many of all items have each term, as far as more than one has it."""
+    terms = [np.zeros(0, np.uint64)]
+    for lo, hi in portions(texts):
+        w = reader.words(texts[lo:hi])
+        number, pos = grams(w, GRAM, HAN_GRAM)
+        terms.append(np.unique(np.stack([number, w.text[pos].astype(np.uint64)]), axis=1)[0])
+    term, df = np.unique(np.concatenate(terms), return_counts=True)
+    return Common(len(texts), term[df > 1], df[df > 1])
+
+
+def weights(number: np.ndarray, item: np.ndarray, n: int, among: Common) -> np.ndarray:
+    """Weight of each term at its place in one of ``n`` items, in mean terms of the item: the rarer among all items, the more."""
     key, place = np.unique(np.stack([number, item.astype(np.uint64)]), axis=1, return_inverse=True)
-    _, of, df = np.unique(key[0], return_inverse=True, return_counts=True)
+    df = np.ones(len(key[0]))
+    if len(among.terms):
+        at = np.minimum(np.searchsorted(among.terms, key[0]), len(among.terms) - 1)
+        df = np.where(among.terms[at] == key[0], among.df[at], 1)
     items = key[1].astype(np.int64)
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))[of]
+    idf = np.log(1 + (among.items - df + 0.5) / (df + 0.5))
     mean = np.bincount(items, idf, n) / np.maximum(np.bincount(items, minlength=n), 1)
     return (idf / mean[items])[place.ravel()]
 
 
-def read_items(item_ids: list[int], texts: list[str], reader: WordReader) -> Items:
+def read_items(item_ids: list[int], texts: list[str], reader: WordReader, among: Common) -> Items:
     w = reader.words(texts)
     number, pos = grams(w, GRAM, HAN_GRAM)
-    weight = weights(number, w.text[pos], len(texts))
+    weight = weights(number, w.text[pos], len(texts), among)
     every = spread(w, len(texts), number, pos, 0)
     share = np.zeros(len(every.term))
     share[every.start] = weight
@@ -289,11 +310,12 @@ def leaks(docs: DataFrame, items: DataFrame, lookalikes: Lookalikes) -> DataFram
     tune_arrow(spark)
     rows = sorted({(r.item_id, r.text) for r in items.filter("item_id is not null and text is not null").select("item_id", "text").collect()})
     reader = WordReader(lookalikes.rewrites)
+    among = common([r[1] for r in rows], reader)
     parts = []
     slim = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for first in range(0, len(rows), SHARD):
         shard = rows[first : first + SHARD]
-        shared = spark.sparkContext.broadcast(read_items([r[0] for r in shard], [r[1] for r in shard], reader))
+        shared = spark.sparkContext.broadcast(read_items([r[0] for r in shard], [r[1] for r in shard], reader, among))
         rewrites = lookalikes.rewrites
 
         def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:

@@ -170,3 +170,14 @@ def test_leaks_with_few_intact_terms(spark):
     around = lambda words: " ".join([*sentence(90), *words, *sentence(90)])
     docs = [(1, around(third)), (2, around(ten)), (3, "前言" + "".join(tenth) + "后记"), (4, "前言" + "".join(fifth) + "后记"), (5, around(item[20:29]))]
     assert found(spark, docs, [(1, " ".join(item)), (2, " ".join(short)), (3, han)]) == {(1, 1), (2, 2), (3, 3), (4, 3)}
+
+
+def test_parts_of_the_items_change_nothing(spark, monkeypatch):
+    """A turn of phrase that nearly all items have is one too for the part that holds few of them."""
+    phrase = sentence(25)
+    items = [(k, " ".join([*phrase, *sentence(20)])) for k in range(20)] + [(k, " ".join(sentence(45))) for k in range(20, 40)]
+    docs = [(1, " ".join([*sentence(60), *phrase, *sentence(60)])), (2, " ".join([*sentence(60), *items[3][1].split()[20:], *sentence(60)]))]
+    whole = found(spark, docs, items)
+    assert whole == {(2, 3)}
+    monkeypatch.setattr(leakage, "SHARD", 1)
+    assert found(spark, docs, items) == whole
