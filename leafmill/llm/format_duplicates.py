@@ -1,8 +1,8 @@
 """Duplicates hidden by formatting differences (problem 2).
 
 The canonical key of a text is its letters and digits in lower case, after look-alikes are brought to one form. A text
-that consists wholly of labelled fields has also a field key, of its sorted ``label=value`` pairs; all texts that
-share letters and digits with such a text share its field key.
+that consists wholly of labelled fields has also a field key, of its sorted ``label=value`` pairs (a field is split at its first colon, a value may hold more);
+all texts that share letters and digits with such a text share its field key.
 
 Rows are collapsed on the digest of the key. Keys with more than ``hot`` rows are found exactly, by counts combined on
 the map side, and take two levels: a minimum for each key and salt, then for each key. All others take one shuffle.
@@ -39,8 +39,8 @@ def fields(text: Column) -> Column:
 
     def by(separator: str) -> Column:
         parts = F.filter(F.split(text, separator), lambda p: p.rlike(r"[\p{L}\p{N}]"))
-        pairs = F.transform(parts, lambda p: F.concat(letters(F.split(p, ":").getItem(0)), F.lit("="), letters(F.split(p, ":").getItem(1))))
-        whole = (F.size(parts) >= 2) & F.forall(parts, lambda p: p.rlike(r"^[^:\p{L}\p{N}]*\p{L}[^:]{0,60}:[^:]*[\p{L}\p{N}][^:]*$"))
+        pairs = F.transform(parts, lambda p: F.concat(letters(F.split(p, ":").getItem(0)), F.lit("="), letters(p.substr(F.instr(p, ":") + 1, F.length(p)))))
+        whole = (F.size(parts) >= 2) & F.forall(parts, lambda p: p.rlike(r"^[^:\p{L}\p{N}]*\p{L}[^:]*:(?s:.*)[\p{L}\p{N}]"))
         return F.when(whole, F.array_join(F.array_sort(pairs), ";"))
 
     return F.when(text.contains(":"), F.coalesce(*[by(s) for s in SEPARATORS]))

@@ -30,3 +30,9 @@ def test_empty_and_very_long(spark):
     assert classes(spark, []) == set()
     long = "Word " * 40_000
     assert classes(spark, [(5, long), (6, long.upper()), (7, long + "x")]) == {(5, 5, 2), (6, 5, 2), (7, 7, 1)}
+
+
+def test_colons_in_values_and_long_labels(spark):
+    label = "The name under which the ship was entered in the register of the harbour of Bakano"
+    rows = [(1, "Time: 10:30; Ratio: 2:1; Ship: Ann"), (2, "Ship: Ann | Time: 10:30 | Ratio: 2:1"), (3, "Ship: Ann | Time: 2:1 | Ratio: 10:30"), (4, f"{label}: Ann; Year: 1866"), (5, f"Year: 1866; {label}: Ann")]
+    assert classes(spark, rows) == {(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 2), (5, 4, 2)}
