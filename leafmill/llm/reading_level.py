@@ -42,6 +42,7 @@ GRADES = 4
 SLACK = 0.0075  # share of the graded documents by which a cut may be worse than the best and still count as good
 GRID = np.linspace(-3.5, 3.5, 141)
 RIDGE, PRIOR = 1.0, 1.0
+START = 0.3  # slope of a word that is longer than others by one deviation, where there are no grades
 
 VECTOR = "doc_id long, n int, words array<long>, counts array<int>"
 
@@ -99,6 +100,29 @@ def vocabulary(vectors: DataFrame, documents: int) -> np.ndarray:
     return np.sort(np.array([r.w for r in rows.collect()], np.int64))
 
 
+def lengths(docs: DataFrame, words: np.ndarray, rewrites: dict[str, str]) -> np.ndarray:
+    """Letters of each word of the vocabulary."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, known = WordReader(rewrites), shared.value
+        longest = np.zeros(len(known), np.int64)
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for lo, hi in portions(texts):
+                w = own.words(texts[lo:hi], lengths=True)
+                number = w.number.view(np.int64)
+                at = np.minimum(np.searchsorted(known, number), len(known) - 1)
+                hit = known[at] == number
+                np.maximum.at(longest, at[hit], w.length[hit])
+        yield pd.DataFrame({"k": np.arange(len(known)), "n": longest})
+
+    rows = docs.select("text").mapInPandas(measure, "k long, n long").groupBy("k").agg(F.max("n").alias("n")).toPandas()
+    out = np.zeros(len(words))
+    out[rows["k"]] = rows["n"]
+    return out
+
+
 def narrowed(vectors: DataFrame, words: np.ndarray) -> DataFrame:
     """The vectors with places in the vocabulary instead of word numbers."""
     shared = vectors.sparkSession.sparkContext.broadcast(words)
@@ -181,6 +205,20 @@ def cuts(level: np.ndarray, grade: np.ndarray, mass: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.array(out))
 
 
+def quartiles(vectors: DataFrame, model: Difficulty) -> np.ndarray:
+    """The points of the grid that cut the documents into equal parts."""
+    shared = vectors.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "k": shared.value.levels(batch)})
+
+    rows = vectors.mapInPandas(run, "doc_id long, k long").groupBy("doc_id").agg(F.min("k").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    n = np.zeros(len(GRID))
+    n[rows["k"]] = rows["n"]
+    return GRID[np.searchsorted(np.cumsum(n) / n.sum(), np.arange(1, GRADES) / GRADES - 1e-9)]
+
+
 def reading_levels(docs: DataFrame, grades: DataFrame, lookalikes: Lookalikes) -> DataFrame:
     """docs: doc_id, text; grades: doc_id, rater, grade. Out: doc_id, grade."""
     spark = docs.sparkSession
@@ -208,6 +246,11 @@ def reading_levels(docs: DataFrame, grades: DataFrame, lookalikes: Lookalikes) -
         at, place = np.unique(level, return_inverse=True)
         mass = np.bincount(place, sample["n"])
     else:  # no grades: the scale starts from the length of words, which only fixes its direction
+        seen, leaning, mass = gathered(vectors, model, (1.0, 0.0), size)
+        long = lengths(slim, words, lookalikes.rewrites)
+        mean = np.average(long, weights=seen + 1e-9)
+        spread = np.sqrt(np.average((long - mean) ** 2, weights=seen + 1e-9))
+        model = Difficulty(np.log((seen + 0.5) / (mass.sum() + 1)), (long - mean) / max(spread, 1e-6) * START)
         seen, leaning, mass = gathered(vectors, model, (1.0, 0.0), size)
         at = GRID
     model.base = np.log((seen + 0.5) / (mass.sum() + 1))
@@ -225,7 +268,7 @@ def reading_levels(docs: DataFrame, grades: DataFrame, lookalikes: Lookalikes) -
     if len(sample):
         between = cuts(GRID[model.levels(sample)], grade, mass)
     else:
-        between = GRID[np.searchsorted(np.cumsum(mass) / mass.sum(), np.arange(1, GRADES) / GRADES)]
+        between = quartiles(vectors, model)
     final = spark.sparkContext.broadcast((model, between))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -36,6 +36,7 @@ class Words:
     han: np.ndarray  # a Chinese character
     start: np.ndarray  # index of its first character in the joined batch
     capital: np.ndarray  # its first letter is upper case
+    length: np.ndarray | None = None  # its letters, if asked for
 
 
 class WordReader:
@@ -73,7 +74,7 @@ class WordReader:
         self.is_han[0x3400:0xA000] = True
         self.is_han[0x20000:TOP] = True
 
-    def words(self, texts: list[str]) -> Words:
+    def words(self, texts: list[str], lengths: bool = False) -> Words:
         texts = [self.longer(DIVIDED.sub("", t) if "\n" in t else t) for t in texts]
         joined = "\0".join(texts)
         points = np.minimum(np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32), TOP - 1)
@@ -92,7 +93,7 @@ class WordReader:
         start = np.flatnonzero(first)
         if not len(start):
             none = np.zeros(0, np.int64)
-            return Words(none.astype(np.uint64), none, none.astype(bool), none, none.astype(bool))
+            return Words(none.astype(np.uint64), none, none.astype(bool), none, none.astype(bool), none)
         # position of each character in its word
         pos = np.arange(len(c), dtype=np.int32)
         pos -= np.repeat(start, np.diff(np.append(start, len(c)))).astype(np.int32) if start[0] == 0 else np.concatenate([np.zeros(start[0], np.int64), np.repeat(start, np.diff(np.append(start, len(c))))]).astype(np.int32)
@@ -100,7 +101,7 @@ class WordReader:
         with np.errstate(over="ignore"):
             number = np.add.reduceat(self.value[c] * self.power[pos], start)
         where = start if at is None else at[start]
-        return Words(number, np.searchsorted(ends, where, "right"), han[start], where, self.upper[points[start]])
+        return Words(number, np.searchsorted(ends, where, "right"), han[start], where, self.upper[points[start]], np.add.reduceat(inside.astype(np.int64), start) if lengths else None)
 
 
 def portions(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:

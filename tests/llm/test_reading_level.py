@@ -41,3 +41,12 @@ def test_no_documents_and_no_grades(spark, shelf):
     assert levels(spark, [], []) == {}
     got = levels(spark, [(i, t, "x") for i, t, _ in shelf[:80]], [])
     assert len(got) == 80 and set(got.values()) <= {1, 2, 3, 4}
+
+
+@pytest.mark.parametrize("grades", [[], [(i, "r1", None) for i in range(600)]])
+def test_no_usable_grades_give_equal_parts(spark, shelf, grades):
+    """Hard words are the longer ones here, as mostly."""
+    longer = [(i, t.replace("learned", "extraordinarily"), "x") for i, t, _ in shelf]
+    got = levels(spark, longer, grades)
+    assert all(110 <= sum(g == k for g in got.values()) <= 190 for k in (1, 2, 3, 4))
+    assert sum(got[i] for i, _, g in shelf if g == 4) > sum(got[i] for i, _, g in shelf if g == 1) + 300
