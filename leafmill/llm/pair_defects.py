@@ -134,7 +134,7 @@ class Tagger:
                 some = min(3, len(plain) // 3)
                 f += [f"per{min(4, han // len(latin_words))}", f"overlap{overlap}", f"overlap{overlap}&{some}", f"overlap{overlap}&{share // 4}", "known" if words else "alone"]
                 if share >= 4:
-                    f += ["w=" + w for w in latin_words[:14] if w not in words]
+                    f += ["w=" + w for w in latin_words if w not in words]
             bare = QUOTED.sub("“", part) if ("“" in part or '"' in part) else part
             if han and "“" not in bare:
                 f += ["b=" + bare[i : i + 2] for i in range(len(bare) - 1) if bare[i] > "ÿ" and bare[i + 1] > "ÿ"]

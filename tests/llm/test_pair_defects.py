@@ -95,3 +95,10 @@ def test_odd_tables(spark, fitted):
     assert judged(spark, fitted, []) == []
     long = "萨拉洛写了1700页关于灯笼的文字。" * 3000
     assert judged(spark, fitted, [("x", long)]) == [None]
+
+
+def test_words_at_the_end_of_a_long_clause(fitted):
+    tagger, _ = fitted
+    part = "While I would very much like to be of service to you today, I am afraid that I cannot translate this"
+    words = {f for f in tagger.features([part], tagger.prompt("Kamar found the map."))[0] if f.startswith("w=")}
+    assert {"w=afraid", "w=cannot", "w=translate"} <= words
