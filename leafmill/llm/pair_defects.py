@@ -256,10 +256,11 @@ def fit(versions: DataFrame, english: DataFrame, aligner: Aligner, rewrites: dic
     """versions: sha, zh; english: sha, en. The sample is taken before the join and is the same for the same data,
     whatever the partitions."""
     hashed = versions.filter("zh is not null").select("sha", "zh", F.xxhash64("sha", "zh").alias("h"))
-    odd = ((F.length("zh") <= 100) & F.col("zh").rlike("(?i)" + REFUSALS.pattern)) | (F.regexp_count("zh", F.lit(r"\p{IsHan}")) * 2 < F.length("zh"))
-    # a text has a handful of versions: twice the rows leave enough different ones
-    chosen = [hashed.orderBy("h").limit(2 * SAMPLE).dropDuplicates(["h"]).orderBy("h").limit(SAMPLE), hashed.filter(odd).orderBy("h").limit(2 * ODD).dropDuplicates(["h"]).orderBy("h").limit(ODD)]
-    sample = stage(chosen[0].unionByName(chosen[1]), "sample")  # small, and read twice
+    odd = F.col("zh").rlike("(?i)" + REFUSALS.pattern) | (F.regexp_count("zh", F.lit(r"\p{IsHan}")) * 2 < F.length("zh"))
+    # hashes first: they are made distinct where rows are small, so that copies take no place of others
+    marked = stage(hashed.select("h", odd.alias("odd")), "marked")
+    chosen = [marked.select("h").distinct().orderBy("h").limit(SAMPLE).withColumn("k", F.lit(0)), marked.filter("odd").select("h").distinct().orderBy("h").limit(ODD).withColumn("k", F.lit(1))]
+    sample = stage(hashed.join(F.broadcast(chosen[0].unionByName(chosen[1])), "h").dropDuplicates(["h", "k"]).drop("k"), "sample")  # small, and read twice
     own = english.join(F.broadcast(sample.select("sha").distinct()), "sha", "left_semi").groupBy("sha").agg(F.min("en").alias("en"))
     rows = sorted(((r.zh, r.en) for r in sample.join(own, "sha", "left").select("zh", "en").collect()), key=lambda r: (r[0], r[1] or ""))  # at most SAMPLE + ODD
     form = Rewriter(rewrites)

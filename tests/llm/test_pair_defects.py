@@ -102,3 +102,21 @@ def test_words_at_the_end_of_a_long_clause(fitted):
     part = "While I would very much like to be of service to you today, I am afraid that I cannot translate this"
     words = {f for f in tagger.features([part], tagger.prompt("Kamar found the map."))[0] if f.startswith("w=")}
     assert {"w=afraid", "w=cannot", "w=translate"} <= words
+
+
+def test_sample_has_long_refusals_and_no_place_for_copies(spark, monkeypatch):
+    from leafmill.llm import pair_defects
+
+    seen = []
+    monkeypatch.setattr(pair_defects, "training", lambda tagger, rows: seen.append(rows) or training(tagger, rows))
+    monkeypatch.setattr(pair_defects, "SAMPLE", 30)
+    monkeypatch.setattr(pair_defects, "ODD", 20)
+    rng = random.Random(3)
+    refusal = "很遗憾，我无法翻译这段内容。" + "这段内容的篇幅和来源都需要另外确认之后才能继续往下进行，" * 6
+    rows = [(f"s{i}", "".join(sentence(rng)[1] for _ in range(3)) + str(i)) for i in range(200)] + [("long", refusal)]
+    frame = spark.createDataFrame(rows, "sha string, zh string")
+    first = frame.orderBy(pair_defects.F.xxhash64("sha", "zh")).first()
+    frame = spark.createDataFrame([*rows, *[(first.sha, first.zh)] * 100], "sha string, zh string")
+    aligner = Aligner(Transliterator.fit([(a.lower(), b) for a, b in NAMES.items()]), {k: [v] for k, v in THINGS.items()})
+    pair_defects.fit(frame, spark.createDataFrame([], "sha string, en string"), aligner, {})
+    assert refusal in {zh for zh, _ in seen[0]} and len({zh for zh, _ in seen[0]}) >= 30
