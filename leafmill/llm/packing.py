@@ -2,12 +2,16 @@
 
 Documents are sized in tokens and packed into containers of ``CAPACITY`` tokens by best-fit decreasing, partition by
 partition. Dual feasible functions give a lower bound of each partition's containers, and of all together; a partition
-that meets its bound is certified and left alone. While the sum is above the bound of the whole, partitions exchange:
-their loosest containers go to a group of ``FAN`` partitions and are packed again together, then those of groups of
-groups, and so on. A new packing is taken only if it needs fewer containers.
+that meets its bound is certified and gives away no more than the rests of a few containers. While the sum is above
+the bound of the whole, partitions exchange: their loosest containers go to a group of ``FAN`` partitions and are
+packed again together, then those of groups of groups, and so on. A new packing is taken only if it needs fewer
+containers.
 
-A partition holds about ``TARGET`` tokens whatever the corpus, groups hold only what was exchanged. A text that alone
-exceeds the capacity is cut into full containers and a rest, and only the rest is packed.
+A partition holds about ``TARGET`` tokens, and at most some ``MOST`` documents, whatever the corpus. What one gives to
+an exchange holds at most a ``FAN``-th of that, however far it is from its bound, so a group never holds more than a
+partition did, at any level.
+
+A text that alone exceeds the capacity is cut into full containers and a rest, and only the rest is packed.
 
 Defined results: a null text has no row; a text without tokens lies in a container of its partition and takes no room;
 repeated documents (same id) are packed once, as the longest; an empty table gives no rows; ties go to the smaller id.
@@ -29,14 +33,16 @@ from leafmill.runtime import load, ship, stage
 
 CAPACITY = 2048
 TARGET = 4_000_000
+MOST = 1_000_000
 FAN = 16
 LOOSE = 8  # containers that a partition gives to an exchange for each one above its bound, and at least
+ROUNDINGS = 24  # how fine the rounding dual feasible functions go
 
 VOCABULARY = os.path.join(os.environ.get("LEAFMILL_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 # Fixed value: how this vocabulary's texts are cut before byte pairs are merged.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-ITEMS = "grp long, bin string, doc_id long, part int, tokens int"
+ITEMS = "grp long, bin string, doc_id long, part int, tokens int, opens boolean, give boolean"
 
 
 def sizes(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -58,21 +64,36 @@ def sizes(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def lower_bound(size: np.ndarray, number: np.ndarray, capacity: int) -> int:
-    """Least containers that ``number[k]`` items of ``size[k]`` need: the best of the dual feasible functions that
-    take items above capacity - a as whole, drop those below a, and keep the others, for every a up to half."""
-    count = np.bincount(size, number, capacity + 1)
-    weight = count * np.arange(capacity + 1)
-    at_least = lambda x: np.concatenate([np.cumsum(x[::-1])[::-1], [0]])
-    n, w = at_least(count), at_least(weight)
-    best = int(np.ceil(w[0] / capacity - 1e-9))
+    """Least containers that ``number[k]`` items of ``size[k]`` need: the best bound of three families of dual feasible
+    functions, in whole numbers. They take items above capacity - a as whole and drop those below a, for every a up to
+    half, and the others as they are or rounded down to a k-th by the next finer step; or they count how often a piece
+    of l tokens goes into an item, or into what it leaves free."""
+    count = np.bincount(size, number, capacity + 1).astype(np.int64)
+    x = np.arange(capacity + 1, dtype=np.int64)
+    at_least = lambda y: np.concatenate([np.cumsum(y[::-1])[::-1], [0]])
+    up = lambda y, unit: -(-y // unit)
+    n, w = at_least(count), at_least(count * x)
     half = capacity // 2
+    best = int(up(w[0], capacity))
+    if not half:
+        return best
     a = np.arange(1, half + 1)
     big = n[capacity - a + 1]  # whole
     middle_n, middle_w = n[half + 1] - big, w[half + 1] - w[capacity - a + 1]
     small_w = w[a] - w[half + 1]
-    spare = middle_n * capacity - middle_w
-    bound = big + middle_n + np.ceil(np.maximum(0, small_w - spare) / capacity - 1e-9)
-    return max(best, int(bound.max(initial=0)))
+    spare = middle_n * capacity - middle_w  # of two middle items none share a container
+    best = max(best, int((big + middle_n + up(np.maximum(0, small_w - spare), capacity)).max()))
+    for k in range(2, min(ROUNDINGS, capacity) + 1):
+        steps, rest = np.divmod((k + 1) * x, capacity)
+        rounded = at_least(count * np.where(rest == 0, steps * k, steps * (k + 1)))  # in parts of k (k + 1)
+        best = max(best, int(up(big * k * (k + 1) + rounded[a] - rounded[capacity - a + 1], k * (k + 1)).max()))
+    sizes = np.flatnonzero(count)
+    for i in range(0, half, 256):
+        piece = a[i : i + 256, None]
+        whole = capacity // piece
+        into = np.where(2 * sizes < capacity, 2 * (sizes // piece), np.where(2 * sizes > capacity, 2 * (whole - (capacity - sizes) // piece), whole))
+        best = max(best, int(up((into * count[sizes]).sum(1), 2 * whole[:, 0]).max(initial=0)))
+    return best
 
 
 def best_fit_decreasing(size: np.ndarray, capacity: int) -> np.ndarray:
@@ -104,29 +125,50 @@ def best_fit_decreasing(size: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+def _offer(rows: pd.DataFrame, capacity: int, target: int, most: int) -> pd.DataFrame:
+    """Mark the first item of each container, and the loosest containers as given to the next exchange: ``LOOSE`` for
+    each container above the partition's bound (and at least), within a ``FAN``-th of what a partition may hold."""
+    size = rows["tokens"].to_numpy()
+    number, _ = pd.factorize(rows["bin"])
+    fill, items = np.bincount(number, size).astype(np.int64), np.bincount(number)
+    gap = max(1, len(fill) - lower_bound(size, np.ones(len(size), np.int64), capacity))
+    order = np.lexsort((np.arange(len(fill)), fill))
+    within = (np.cumsum(fill[order]) <= max(target // FAN, capacity)) & (np.cumsum(items[order]) <= max(most // FAN, 1)) & (fill[order] < capacity)
+    give = np.zeros(len(fill), bool)
+    give[order[: gap * LOOSE][within[: gap * LOOSE]]] = True
+    opens = np.zeros(len(rows), bool)
+    opens[np.unique(number, return_index=True)[1]] = True
+    return rows.assign(opens=opens, give=give[number])
+
+
 def _pack(rows: pd.DataFrame, label: str, capacity: int) -> pd.DataFrame:
     rows = rows.sort_values(["doc_id", "part"], kind="stable").reset_index(drop=True)
     new = best_fit_decreasing(rows["tokens"].to_numpy(), capacity)
     return rows.assign(bin=[f"{label}-{b}" for b in new])
 
 
-def _repack(level: int, capacity: int):
-    """Pack what a group of partitions has exchanged; keep the old packing unless the new one needs fewer containers."""
+def _packer(level: int, capacity: int, target: int, most: int):
+    """Pack a partition, or what a group of them has exchanged; keep an older packing unless the new one needs fewer."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        old = rows["bin"].nunique()
-        number = rows["tokens"].to_numpy()
-        if old > lower_bound(number, np.ones(len(number)), capacity):
-            new = _pack(rows, f"{level}-{rows['grp'].iloc[0]}", capacity)
-            if new["bin"].nunique() < old:
-                return new
-        return rows
+        label = f"{level}-{rows['grp'].iloc[0]}"
+        if not level:
+            rows = _pack(rows, label, capacity)
+        else:
+            old = rows["bin"].nunique()
+            size = rows["tokens"].to_numpy()
+            if old > lower_bound(size, np.ones(len(size), np.int64), capacity):
+                new = _pack(rows, label, capacity)
+                if new["bin"].nunique() < old:
+                    rows = new
+        return _offer(rows, capacity, target, most)
 
     return run
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, target: int = TARGET) -> DataFrame:
-    """items: doc_id, tokens. Out: container, doc_id, part, tokens."""
+def pack(items: DataFrame, capacity: int = CAPACITY, target: int = TARGET, most: int = MOST, report: list[dict] | None = None) -> DataFrame:
+    """items: doc_id, tokens. Out: container, doc_id, part, tokens. ``report`` gets a row for each level: containers
+    so far, the bound, groups, and what the largest group held."""
     spark = items.sparkSession
     ship(spark)
     sized = stage(items.groupBy("doc_id").agg(F.max("tokens").alias("tokens")), "sizes")
@@ -138,27 +180,28 @@ def pack(items: DataFrame, capacity: int = CAPACITY, target: int = TARGET) -> Da
         return full
     size, number = histogram["tokens"].to_numpy(), histogram["count"].to_numpy()
     bound = lower_bound(size, number, capacity)
-    parts = max(1, int(-(-(size * number).sum() // target)))
-    slots = rest.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("grp"), F.lit("").alias("bin"), "doc_id", "part", "tokens")
-    packed = stage(slots.groupBy("grp").applyInPandas(lambda rows: _pack(rows, f"0-{rows['grp'].iloc[0]}", capacity), ITEMS), "packed")
+    parts = max(1, int(-(-(size * number).sum() // target)), int(-(-number.sum() // most)))
+    moved = rest.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("grp"), F.lit("").alias("bin"), "doc_id", "part", "tokens")
 
     settled: list[DataFrame] = []
-    level, groups = 0, parts
-    while groups > 1:
-        level += 1
-        bins = packed.groupBy("grp", "bin").agg(F.sum("tokens").alias("fill"))
-        if sum(df.select("bin").distinct().count() for df in settled) + bins.count() <= bound:
-            break  # certified: no packing has fewer
-        own = packed.groupBy("grp", "tokens").count().groupBy("grp").applyInPandas(lambda g: pd.DataFrame({"grp": [g["grp"].iloc[0]], "least": [lower_bound(g["tokens"].to_numpy(), g["count"].to_numpy(), capacity)]}), "grp long, least long")
-        stats = bins.groupBy("grp").count().join(own, "grp").select("grp", F.greatest(F.lit(1), F.col("count") - F.col("least")).alias("gap"))
-        ranked = bins.join(stats, "grp").withColumn("rank", F.expr("row_number() over (partition by grp order by fill, bin)"))
-        given = ranked.filter((F.col("rank") <= F.col("gap") * LOOSE) & (F.col("fill") < capacity)).select("grp", "bin")
-        settled.append(packed.join(given, ["grp", "bin"], "left_anti"))
-        moved = packed.join(given, ["grp", "bin"], "left_semi").withColumn("grp", F.floor(F.col("grp") / FAN).cast("long"))
-        packed = stage(moved.groupBy("grp").applyInPandas(_repack(level, capacity), ITEMS), f"packed-{level}")
-        groups = -(-groups // FAN)
-    out = packed
-    for df in settled:
+    level, groups, containers = 0, parts, 0
+    while True:
+        packed = stage(moved.groupBy("grp").applyInPandas(_packer(level, capacity, target, most), ITEMS), f"packed-{level}")
+        sums = packed.groupBy("grp").agg(F.sum(F.col("opens").cast("long")).alias("bins"), F.sum((F.col("opens") & F.col("give")).cast("long")).alias("given"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("items"))
+        row = sums.agg(F.sum("bins").alias("bins"), F.sum("given").alias("given"), F.max("tokens").alias("tokens"), F.max("items").alias("items")).first()
+        if not row.bins:
+            break
+        if report is not None:
+            report.append({"level": level, "containers": containers + row.bins, "bound": bound, "groups": groups, "tokens": row.tokens, "items": row.items})
+        if groups == 1 or not row.given or containers + row.bins <= bound:  # the last: certified, no packing has fewer
+            settled.append(packed)
+            break
+        settled.append(packed.filter("not give"))
+        containers += row.bins - row.given
+        moved = packed.filter("give").select(F.floor(F.col("grp") / FAN).cast("long").alias("grp"), "bin", "doc_id", "part", "tokens")
+        level, groups = level + 1, -(-groups // FAN)
+    out = settled[0]
+    for df in settled[1:]:
         out = out.unionByName(df)
     return full.unionByName(out.select(F.col("bin").alias("container"), "doc_id", "part", "tokens"))
 

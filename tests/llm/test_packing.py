@@ -58,3 +58,36 @@ def test_tokens_of_odd_texts(spark):
     docs = spark.createDataFrame([(1, "one two"), (2, ""), (3, None), (None, "x"), (4, "<|endoftext|>"), (5, "词" * 5000)], "doc_id long, text string")
     got = {r.doc_id: r.tokens for r in packing.sizes(docs).collect()}
     assert set(got) == {1, 2, 4, 5} and got[1] == 2 and got[2] == 0 and got[4] > 1 and got[5] >= 5000
+
+
+def test_bound_is_tight_for_equal_sizes():
+    for size, number, least in ((700, 6000, 3000), (520, 6000, 2000), (1000, 7, 4), (683, 3001, 1501)):
+        assert packing.lower_bound(np.array([size]), np.array([number]), 2048) == least
+
+
+def test_groups_stay_small_whatever_the_gap(spark):
+    """Sizes with a wide gap between bound and optimum: what a group holds doesn't grow with the corpus."""
+    rng = random.Random(9)
+    largest = []
+    for n in (2000, 20_000):
+        df = spark.createDataFrame([(i, rng.randint(600, 759)) for i in range(n)], "doc_id long, tokens long")
+        report = []
+        assert packing.pack(df, target=150_000, report=report).select("doc_id").distinct().count() == n
+        assert [r["containers"] for r in report] == sorted((r["containers"] for r in report), reverse=True)
+        largest.append(max(r["items"] for r in report[1:]))
+        assert all(r["tokens"] <= 150_000 for r in report[1:])
+    assert largest[1] <= 150_000 // 600
+
+
+def test_equal_sizes_are_certified_almost_without_exchange(spark):
+    df = spark.range(8000).selectExpr("id as doc_id", "700L as tokens")
+    report = []
+    used = packing.pack(df, target=150_000, report=report).select("container").distinct().count()
+    assert used == report[-1]["containers"] == report[-1]["bound"] == 4000
+
+
+def test_many_items_without_tokens_are_spread(spark):
+    df = spark.range(5000).selectExpr("id as doc_id", "0L as tokens")
+    report = []
+    assert packing.pack(df, most=500, report=report).count() == 5000
+    assert max(r["items"] for r in report) < 700
