@@ -1,4 +1,4 @@
-from leafmill.llm.format_duplicates import collapse
+from leafmill.llm.format_duplicates import collapse, components
 from leafmill.llm.lookalikes import Lookalikes
 
 TEXTS = [
@@ -36,3 +36,20 @@ def test_colons_in_values_and_long_labels(spark):
     label = "The name under which the ship was entered in the register of the harbour of Bakano"
     rows = [(1, "Time: 10:30; Ratio: 2:1; Ship: Ann"), (2, "Ship: Ann | Time: 10:30 | Ratio: 2:1"), (3, "Ship: Ann | Time: 2:1 | Ratio: 10:30"), (4, f"{label}: Ann; Year: 1866"), (5, f"Year: 1866; {label}: Ann")]
     assert classes(spark, rows) == {(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 2), (5, 4, 2)}
+
+
+def test_labels_may_begin_with_a_digit_and_colons_stand_between_digits(spark):
+    rows = [(1, "1st: Ann; 2nd: Bo"), (2, "2nd: Bo; 1st: Ann"), (3, "Time: 12:30; Place: Paris"), (4, "Place: Paris; Time: 12:30"), (5, "At 12:30, not at 1:15"), (6, "not at 1:15, At 12:30")]
+    assert classes(spark, rows) == {(1, 1, 2), (2, 1, 2), (3, 3, 2), (4, 3, 2), (5, 5, 1), (6, 6, 1)}
+
+
+def test_classes_are_components_of_both_keys(spark):
+    rows = [(1, "a: bc; d: e"), (2, "ab: c; d: e"), (3, "d: e; a: bc"), (4, "d: e; ab: c"), (5, "d e a b c"), (6, "x: y; z: w")]
+    assert classes(spark, rows) == {(i, 1, 5) for i in range(1, 6)} | {(6, 6, 1)}
+    assert classes(spark, rows, hot=1, salts=3) == classes(spark, rows)
+
+
+def test_long_chains_of_keys_are_one_component(spark):
+    edges = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(60) if i != 40], "a string, b string")
+    got = {r.node: r.root for r in components(edges).collect()}
+    assert got == {f"{i:03d}": "000" if i <= 40 else "041" for i in range(61)}

@@ -59,3 +59,31 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "field string, key long, text string")
     assert L.same_look_pairs(df, L.Lookalikes.fit(df)).count() == 0
     assert L.Lookalikes.fit(df).form(F.col("text")) is not None
+
+
+def test_the_more_frequent_member_stands_whatever_its_alphabet(spark):
+    for heavy, odd in (("оld mаp", "old mаp"), ("ＯＫ", "OK"), ("ﬁle", "file")):
+        texts = [heavy] * 5 + [odd] + [heavy + "х" * k for k in range(1, 30)]
+        df = spark.createDataFrame([("en", i, t) for i, t in enumerate(texts)], "field string, key long, text string")
+        got = {tuple(r) for r in L.same_look_pairs(df, L.Lookalikes.fit(df)).collect()}
+        assert got == {("en", i, 5) for i in range(5)}, heavy
+
+
+def test_marks_in_any_order_and_beyond_what_characters_there_are():
+    assert len(set(form("ậ", "ậ", "ậ", "ậ", "ậ"))) == 1
+    assert len(set(form("q̣̈", "q̣̈"))) == 1 and len(set(form("q̣̈", "q̣"))) == 2
+    assert len(set(form("한글", "한글"))) == 1 and len(set(form("が", "が"))) == 1
+    assert len(set(form("é", "é", "е́", "e​́"))) == 1
+    long = "e" + "́̂" * 500
+    assert len(counts(long)) < 60 and form(long)[0] == form(form(long)[0])[0]
+
+
+def test_classes_have_one_row_a_text_and_its_links(spark):
+    texts = ["map", "mаp", "mаp", "map", "mар", "other", None, "—"]
+    df = spark.createDataFrame([("en", i, t) for i, t in enumerate(texts)] + [("en", 0, "map")], "field string, key long, text string")
+    look = L.Lookalikes.fit(df)
+    for hot in (1, 100):
+        got = {(r.key, r.class_key, r.links) for r in L.same_look_classes(df, look, hot).collect()}
+        assert got == {(0, 0, 3), (1, 0, 3), (2, 0, 3), (3, 0, 3), (4, 0, 4), (5, 5, 0)}
+        pairs = {(r.key_a, r.key_b) for r in L.same_look_pairs(df, look, hot).collect()}
+        assert pairs == {(0, 1), (0, 2), (0, 4), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}
