@@ -6,9 +6,12 @@ character pairs, quotation, its place, and for the last clause how it ends. Name
 folded to one symbol each there, so that the frame of the sentence shows; a frame that stops where whole sentences
 of the corpus never stop is unfinished. The share of the characters under each tag gives the defect of the pair.
 
-The field is fitted on a bounded sample (``SAMPLE`` responses and ``ODD`` that look odd, chosen by a hash). Nobody has labelled clauses, so the
-sample's labels come from plain rules, and unfinished clauses are made by cutting whole ones (clauses with others behind
-them) at random places, with any mark behind the cut. Everything else covers all versions.
+The field is fitted on a bounded sample (``SAMPLE`` responses, ``ODD`` that look odd and ``REPEATED`` that answer several
+prompts, chosen by a hash). Nobody has labelled clauses, so the sample's labels come from plain rules, and unfinished
+clauses are made by cutting whole ones (clauses with others behind them) at random places, with any mark behind the cut.
+Refusals are known in two ways: by some wordings, and, whatever the wording, as a response that stands under
+``PROMPTS`` or more different prompts and says nothing of theirs, no name, number or glossary word. The glossary words that
+are folded are those of the sample's prompts, so they are as bounded as it is. Everything else covers all versions.
 
 Defined results: a null or empty response is ``empty``; a response without letter, digit or Chinese character is too;
 without an English text (null sha, no paragraph, or several: then the smallest) it is judged by itself; versions
@@ -27,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.alignment import TOKEN, Aligner, fit_glossary
+from leafmill.llm.alignment import TEXT_WORDS, TOKEN, Aligner, fit_names, glossary_forms
 from leafmill.llm.crf import Crf
 from leafmill.llm.lookalikes import Lookalikes, Rewriter
 from leafmill.operators.skew import salted_join
@@ -35,7 +38,8 @@ from leafmill.runtime import load, ship, stage
 
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 DEFECT = {REFUSAL: "refusal", ECHO: "copy", FOREIGN: "other_language"}
-SAMPLE, ODD = 6000, 3000
+SAMPLE, ODD, REPEATED = 6000, 3000, 2000
+PROMPTS = 3
 HALF = 0.5
 
 CLAUSE = re.compile(r"(?:[。！？]|……|…|[.!?]+(?=[\s”\"'）)]|$)|\n)[。！？…”）\"'）]*")
@@ -43,6 +47,7 @@ QUOTED = re.compile(r"[“\"«].*?(?:[”\"»]|$)", re.S)
 HAN = re.compile("[\u3400-\u9fff\uf900-\ufaff]")
 WORD = re.compile(r"[^\W\d_]+", re.U)
 LATIN = re.compile(r"[a-zà-öø-ɏ]+(?:['’][a-z]+)?")
+LETTER = frozenset(c for c in map(chr, range(0x250)) if re.match("[A-Za-zÀ-ɏ'’\\-]", c)) | {"’"}
 END = re.compile(r"[\s。！？!?.…，,、；;：:”\"“’'）)（(\]\[—\-]*$")
 OPEN_END = re.compile(r"(?:[，,、；;：:“（(\[]|—+|（未完|\[截断\]|[（\[][^）\]]{0,24})\s*$")
 
@@ -78,25 +83,59 @@ class Tagger:
 
     def __init__(self, aligner: Aligner):
         self.names = aligner.names
-        forms = {z for zs in aligner.lexicon.values() for z in zs if len(z) >= 2}
-        forms |= {z[:-1] for z in forms if z.endswith("的") and len(z) > 2}
-        self.things = re.compile("|".join(sorted(map(re.escape, forms), key=lambda z: (-len(z), z)))) if forms else None
-        count: dict[str, int] = {}
-        for options in aligner.names.table.values():
-            for chars, _ in options[:1]:
-                for c in chars:
-                    count[c] = count.get(c, 0) + 1
-        signs = sorted(count)
-        self.name_run = re.compile("[A-Za-zÀ-ɏ'’\\-]{2,}|[" + "".join(map(re.escape, signs)) + "]{2,}") if signs else re.compile("[A-Za-zÀ-ɏ'’\\-]{2,}")
+        self.forms = {z for zs in aligner.lexicon.values() for z in zs if len(z) >= 2}
+        self.forms |= {z[:-1] for z in self.forms if z.endswith("的") and len(z) > 2}
+        self.signs = {c for options in aligner.names.table.values() for chars, _ in options[:1] for c in chars}
+        run = "[A-Za-zÀ-ɏ'’\\-]{2,}"
+        self.name_run = re.compile(run + "|[" + "".join(map(re.escape, sorted(self.signs))) + "]{2,}") if self.signs else re.compile(run)
+        self.repeated: frozenset[str] = frozenset()  # responses of the sample that stand under several prompts
+        self._things = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_things": None}
+
+    def folded(self, s: str) -> str:
+        """The glossary words as one symbol each, the longest that begins first."""
+        if self._things is None:
+            import ahocorasick
+
+            self._things = ahocorasick.Automaton()
+            for z in self.forms:
+                self._things.add_word(z, len(z))
+            self._things.make_automaton()
+        out, at = [], 0
+        for end, size in self._things.iter_long(s):
+            out += (s[at : end + 1 - size], "W")
+            at = end + 1
+        return "".join(out) + s[at:]
 
     def frame(self, sentence: str) -> str:
         """The sentence with names, numbers and glossary words folded to one symbol each."""
-        s = sentence
-        if self.things:
-            s = self.things.sub("W", s)
+        s = self.folded(sentence) if self.forms else sentence
         s = re.sub(r"\d[\d,.]*", "#", re.sub(r"\s+", "", s))
         return re.sub("N+", "N", self.name_run.sub("N", s.replace("W", "\x01")).replace("\x01", "W"))
 
+    def last_name(self, body: str) -> str:
+        """The run of letters that may be a name at the very end."""
+        for inside in (self.signs.__contains__, LETTER.__contains__):
+            k = len(body)
+            while k and inside(body[k - 1]):
+                k -= 1
+            if len(body) - k >= 2:
+                return body[k:]
+        return ""
+
+    def apart(self, part: str, prompt: tuple[str, set[str], bool, bool, list[str]]) -> bool:
+        """Whether the clause says nothing of the prompt, though that has names or numbers to speak of."""
+        low, words, _, _, names = prompt
+        text = part.strip().lower()
+        if not (names or re.search(r"\d", low)) or re.search(r"\d", text) or sum(map(len, WORD.findall(text))) < 4:
+            return False
+        han, latin = len(HAN.findall(text)), LATIN.findall(text)
+        if sum(map(len, latin)) > han:
+            return len(latin) >= 3 and not any(len(w) >= 5 and w in words for w in latin)
+        return not set("NW#") & set(self.frame(QUOTED.sub("“", part)))
+
     def prompt(self, en: str | None) -> tuple[str, set[str], bool, bool, list[str]]:
         """(lower case, words, trails off, ends like a sentence, its names in Chinese)."""
         if en is None:
@@ -156,15 +195,11 @@ class Tagger:
         kind = "open" if OPEN_END.search(stripped) else "dots" if "…" in mark or ".." in mark else "stop" if re.search("[。！？!?.]", mark) else "none" if not mark.strip() else "other"
         frame = self.frame(body.rsplit("；", 1)[-1])
         head, n = frame[:3], len(frame)
-        run = self.name_run.search(body[-14:])
-        last_run = ""
-        for m in self.name_run.finditer(body[-16:]):
-            if m.end() == len(body[-16:]):
-                last_run = m.group()
+        last_run = self.last_name(body)
         name = "-"
         if last_run:
             name = "full" if any(last_run.endswith(z) for z in names) else "part" if any(last_run.endswith(z[:c]) for z in names for c in range(1, len(z))) else "some"
-        elif run is None and body[-1:] and any(z.startswith(body[-1:]) for z in names):
+        elif body[-1:] and any(z.startswith(body[-1:]) for z in names):
             name = "start"
         signature = f"{frame.count('N')}{frame.count('W')}{frame.count('#')}{frame.count('，')}"
         tail = frame[-2:]
@@ -206,6 +241,8 @@ def training(tagger: Tagger, rows: list[tuple[str, str | None]], seed: int = 5)
             continue
         prompt = tagger.prompt(en)
         labels = [rule_label(p, prompt[1]) for p in parts]
+        if zh in tagger.repeated:
+            labels = [REFUSAL if y == ANSWER and tagger.apart(p, prompt) or y == FOREIGN and LATIN.search(p.lower()) and tagger.apart(p, prompt) else y for p, y in zip(parts, labels)]
         plain = all(y == ANSWER for y in labels)
         if not plain or len(parts) == 1:
             stops = re.search("[。！？!?”）]|(?<![.])[.]$", END.search(zh.strip()).group())
@@ -252,20 +289,40 @@ def verdict(parts: list[str], tags: np.ndarray) -> str | None:
     return "truncated" if tags[-1] == UNFINISHED else None
 
 
-def fit(versions: DataFrame, english: DataFrame, aligner: Aligner, rewrites: dict[str, str]) -> tuple[Tagger, Crf]:
+def with_words_of(aligner: Aligner, glossary: DataFrame, prompts: list[str]) -> Aligner:
+    """The aligner with the common glossary words that ``prompts`` have, as bounded as those are."""
+    spark = glossary.sparkSession
+    words = sorted({w for en in prompts for w in re.findall(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*", en.lower())})
+    if not words:
+        return aligner
+    met = F.broadcast(spark.createDataFrame([(w,) for w in words], "word string"))
+    forms = glossary_forms(glossary).withColumn("word", F.regexp_extract("low", TEXT_WORDS, 0)).join(met, "word", "left_semi")
+    rows = forms.groupBy("low").agg(F.max("common").alias("common"), F.collect_set("zh").alias("zh")).filter("common = 1").collect()
+    return Aligner(aligner.names, aligner.lexicon | {r.low: sorted(r.zh) for r in rows})
+
+
+def fit(versions: DataFrame, english: DataFrame, aligner: Aligner, rewrites: dict[str, str], glossary: DataFrame | None = None) -> tuple[Tagger, Crf]:
     """versions: sha, zh; english: sha, en. The sample is taken before the join and is the same for the same data,
     whatever the partitions."""
     hashed = versions.filter("zh is not null").select("sha", "zh", F.xxhash64("sha", "zh").alias("h"))
     odd = F.col("zh").rlike("(?i)" + REFUSALS.pattern) | (F.regexp_count("zh", F.lit(r"\p{IsHan}")) * 2 < F.length("zh"))
     # hashes first: they are made distinct where rows are small, so that copies take no place of others
-    marked = stage(hashed.select("h", odd.alias("odd")), "marked")
-    chosen = [marked.select("h").distinct().orderBy("h").limit(SAMPLE).withColumn("k", F.lit(0)), marked.filter("odd").select("h").distinct().orderBy("h").limit(ODD).withColumn("k", F.lit(1))]
-    sample = stage(hashed.join(F.broadcast(chosen[0].unionByName(chosen[1])), "h").dropDuplicates(["h", "k"]).drop("k"), "sample")  # small, and read twice
+    marked = stage(hashed.select("h", F.xxhash64("zh").alias("z"), F.xxhash64("sha").alias("s"), odd.alias("odd"), F.col("zh").rlike(r"[\p{L}\p{N}]").alias("says")), "marked")
+    again = stage(marked.filter("says").select("z", "s").distinct().groupBy("z").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= PROMPTS).select("z"), "again")
+    classes = [(marked, SAMPLE), (marked.filter("odd"), ODD), (marked.filter("says").join(again, "z", "left_semi"), REPEATED)]
+    chosen = [rows.select("h").distinct().orderBy("h").limit(most).withColumn("k", F.lit(k)) for k, (rows, most) in enumerate(classes)]
+    picked = F.broadcast(chosen[0].unionByName(chosen[1]).unionByName(chosen[2]))  # at most SAMPLE + ODD + REPEATED hashes
+    sample = stage(hashed.join(picked, "h").dropDuplicates(["h", "k"]).select("sha", "zh", F.xxhash64("zh").alias("z")), "sample")  # small, and read twice
+    sample = sample.join(again.withColumn("again", F.lit(True)), "z", "left")
     own = english.join(F.broadcast(sample.select("sha").distinct()), "sha", "left_semi").groupBy("sha").agg(F.min("en").alias("en"))
-    rows = sorted(((r.zh, r.en) for r in sample.join(own, "sha", "left").select("zh", "en").collect()), key=lambda r: (r[0], r[1] or ""))  # at most SAMPLE + ODD
+    rows = sorted(((r.zh, r.en, bool(r.again)) for r in sample.join(own, "sha", "left").select("zh", "en", "again").collect()), key=lambda r: (r[0], r[1] or ""))
     form = Rewriter(rewrites)
+    if glossary is not None:
+        aligner = with_words_of(aligner, glossary, [form(en) for _, en, _ in rows if en])
     tagger = Tagger(aligner)
-    xs, ys = training(tagger, [(form(zh), form(en)) for zh, en in rows])
+    tagger.repeated = frozenset(form(zh) for zh, _, again in rows if again)
+    xs, ys = training(tagger, [(form(zh), form(en)) for zh, en, _ in rows])
+    tagger.repeated = frozenset()
     return tagger, Crf(5).fit(xs, ys)
 
 
@@ -305,6 +362,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lookalikes = Lookalikes.fit(paragraphs.select(F.col("en").alias("text")).unionByName(log.select(F.col("zh").alias("text"))), usual_first=True)
     versions = log.filter("seq is not null").select("seq", F.lower("sha").alias("sha"), "zh")
     en = paragraphs.filter("sha is not null and en is not null").groupBy(F.lower("sha").alias("sha")).agg(F.min("en").alias("en"))
-    tagger, crf = fit(versions, paragraphs.filter("en is not null").select(F.lower("sha").alias("sha"), "en"), fit_glossary(load(spark, sf_dir, "glossary")), lookalikes.rewrites)
+    glossary = load(spark, sf_dir, "glossary")
+    tagger, crf = fit(versions, paragraphs.filter("en is not null").select(F.lower("sha").alias("sha"), "en"), Aligner(fit_names(glossary), {}), lookalikes.rewrites, glossary)
     # deliveries of one version get one verdict, so they are made one after tagging, where rows are small
     return defects(salted_join(versions, en, ["sha"], F.col("seq")), tagger, crf, lookalikes.rewrites).distinct()

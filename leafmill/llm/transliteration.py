@@ -11,6 +11,7 @@ import math
 from collections import defaultdict
 
 MOST_LETTERS, MOST_CHARS = 5, 2
+LONGEST = 64  # letters of a name of the sample that the model is fitted on; names of any length are written
 ROUNDS = 8
 FLOOR = 1e-4
 
@@ -22,7 +23,7 @@ class Transliterator:
 
     @classmethod
     def fit(cls, pairs: list[tuple[str, str]]) -> Transliterator:
-        pairs = sorted({(a.lower(), b) for a, b in pairs if a and b and 2 <= len(b) <= len(a) <= 24})
+        pairs = sorted({(a.lower(), b) for a, b in pairs if a and b and 2 <= len(b) <= len(a) <= LONGEST})
         prob: dict[tuple[str, str], float] = defaultdict(lambda: 1.0)
         for k in range(ROUNDS):
             count: dict[tuple[str, str], float] = defaultdict(float)
@@ -34,7 +35,7 @@ class Transliterator:
         table: dict[str, list[tuple[str, float]]] = defaultdict(list)
         for (x, y), p in prob.items():
             table[x].append((y, math.log(p)))
-        return cls({x: sorted(ys, key=lambda e: -e[1])[:4] for x, ys in table.items()})
+        return cls({x: [max(ys, key=lambda e: (e[1], e[0]))] for x, ys in table.items()})  # no other can be in a most probable cut
 
     @staticmethod
     def _expect(a: str, b: str, prob: dict[tuple[str, str], float], count: dict[tuple[str, str], float], shrink: float) -> None:

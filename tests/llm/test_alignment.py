@@ -48,3 +48,70 @@ def test_numbers_in_full_width_and_groups(spark):
     df = spark.createDataFrame(rows, "par_id long, en string, zh string")
     assert {tuple(r) for r in pairs_of(df, ALIGNER, {}).collect() if r.par_id == 1} >= {(1, 0, 0)}
     assert pairs_of(df.limit(0), ALIGNER, {}).count() == 0
+
+
+def test_phrases_names_and_books_of_the_glossary(spark):
+    glossary = spark.createDataFrame(
+        [("a", "Old Mill", "旧磨坊"), ("a", "old mill", "老磨坊"), ("a", "oar", "桨"), ("b", "oar", "橹"), ("b", "Zyx", "泽克斯"), (None, "oar", "划桨"), ("a", "Zyx", "泽克"), ("c", None, "无"), ("a", "key", "")],
+        "book string, en string, zh string",
+    )
+    tasks = spark.createDataFrame([(1, 1, "a", "The oar lies by the old mill."), (2, 1, "b", "Zyx sold an oar."), (3, 1, "c", "An OAR and a key."), (4, 1, None, "No word."), (5, 1, "a", "")], "par_id long, seq long, book string, text string")
+    from leafmill.llm.alignment import with_entries
+
+    want = {1: {("oar", ("划桨", "桨", "橹"), True), ("old mill", ("旧磨坊", "老磨坊"), True)}, 2: {("oar", ("划桨", "桨", "橹"), True), ("zyx", ("泽克斯",), False)}, 3: {("oar", ("划桨", "桨", "橹"), True)}}
+    for small in (0, 1000):
+        got = {r.par_id: {(e.low, tuple(e.forms), e.plain) for e in r.entries} for r in with_entries(tasks, glossary, small=small).collect()}
+        assert got == want
+    entries = [("old mill", ["老磨坊"], True), ("oar", ["桨"], True), ("zyx", ["泽克斯"], False)]
+    assert ALIGNER.align("The oar lies by the old mill. Zyx sold the old mill.", "泽克斯卖了老磨坊。桨在老磨坊旁边。", entries) == [(0, 1), (1, 0)]
+
+
+def made_document(rng, n):
+    """A rough translation with omissions, insertions, merges, splits and exchanges, and its true pairs."""
+    things = [("map", "地图"), ("lantern", "提灯"), ("key", "钥匙")]
+    en, zh, pairs = [], [], []
+    for i in range(n):
+        (a, az), (b, bz), (t, tz), year = *rng.sample(PAIRS, 2), rng.choice(things), rng.randint(1000, 999_999)
+        en.append(f"{a.capitalize()} gave the {t} number {year} to {b}.")
+        how = rng.random()
+        if how < 0.05:
+            continue
+        if how < 0.1:
+            zh.append("天色渐渐暗了下来。")
+        if how < 0.15:
+            pairs += [(i, len(zh)), (i, len(zh) + 1)]
+            zh += [f"{az}有一件{tz}，编号{year}。", f"它给了{bz}。"]
+        elif how < 0.2 and zh and pairs and pairs[-1][1] == len(zh) - 1:
+            pairs.append((i, len(zh) - 1))
+            zh[-1] = zh[-1][:-1] + f"，{az}把{year}号{tz}给了{bz}。"
+        else:
+            pairs.append((i, len(zh)))
+            zh.append(f"{az}把{year}号{tz}给了{bz}。")
+    return " ".join(en), "".join(zh), set(pairs)
+
+
+def test_recall_and_precision_on_made_documents():
+    import random
+
+    rng = random.Random(4)
+    true = found = both = 0
+    for _ in range(40):
+        en, zh, pairs = made_document(rng, 12)
+        got = set(ALIGNER.align(en, zh))
+        true, found, both = true + len(pairs), found + len(got), both + len(got & pairs)
+    assert both >= 0.93 * true and both >= 0.97 * found
+
+
+def test_a_book_length_pair_takes_room_in_proportion():
+    import random
+    import time
+    import tracemalloc
+
+    rng = random.Random(6)
+    en, zh, pairs = made_document(rng, 20_000)
+    began = time.time()
+    tracemalloc.start()
+    got = set(ALIGNER.align(en, zh))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got & pairs) >= 0.9 * len(pairs) and peak < 600e6 and time.time() - began < 300
