@@ -59,9 +59,19 @@ def marks() -> str:
 
 
 @lru_cache(1)
-def unordered() -> re.Pattern:
-    """Runs of marks, and of the letters that make up a Korean syllable: Unicode says in what order and form they are equal."""
-    return re.compile(f"[{_ranges([ord(c) for c in marks()])}]{{2,}}|[\u1100-\u11ff]{{2,}}")
+def _unordered() -> tuple[re.Pattern, re.Pattern]:
+    parts = "\u1100-\u11ff"
+    some, low = _ranges([ord(c) for c in marks()]), _ranges([ord(c) for c in marks() if c < "\U00010000"])
+    # one set of 16-bit characters is looked up in one step, ranges beyond are few texts' matter
+    return re.compile(f"[{low}{parts}]|[\U00010000-\U0010ffff]"), re.compile(f"[{some}]{{2,}}|[{parts}]{{2,}}")
+
+
+def ordered(text: str) -> str:
+    """Runs of marks, and of the letters that make up a Korean syllable, in the order and form that Unicode says they are equal to."""
+    if text.isascii():
+        return text
+    some, runs = _unordered()
+    return runs.sub(lambda m: unicodedata.normalize("NFC", m.group()), text) if some.search(text) else text
 
 
 @lru_cache(1)
@@ -199,8 +209,7 @@ class Rewriter:
     def __call__(self, text: str | None) -> str | None:
         if text is None:
             return text
-        if not text.isascii():
-            text = unordered().sub(lambda m: unicodedata.normalize("NFC", m.group()), text)
+        text = ordered(text)
         if self.touched is None or not self.touched.search(text):
             return text
         seen = {text}
@@ -209,9 +218,7 @@ class Rewriter:
             for end, (size, best) in self.automaton.iter_long(text):
                 out += (text[at : end + 1 - size], best)
                 at = end + 1
-            new = "".join(out) + text[at:]
-            if not new.isascii():
-                new = unordered().sub(lambda m: unicodedata.normalize("NFC", m.group()), new)
+            new = ordered("".join(out) + text[at:])
             if new == text:
                 return text
             if new in seen:  # no rule leads back, but if one did the smallest would stand for all
