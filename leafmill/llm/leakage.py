@@ -1,21 +1,22 @@
 """Evaluation texts leaking into training text (problem 7).
 
-Items and documents are read as runs of three words (four Chinese characters), the terms. Every place where a document
-and an item hold the same term is followed in both directions along equal words, across single changed, missing or
-inserted words and across page heads. Passages of at least ten words (twenty Chinese characters), of which ``DENSITY``
-are equal, count, and they must cover a third of the item. Terms that many items have are turns of phrase: a passage
-whose intact terms, however few, are such on average doesn't count. So nothing need be followed from them.
-
-No bound stands before that: ten words of which two are changed lie in at most three runs, one of them of three words
+Items and documents are read as runs of three words (four Chinese characters), the terms. The items' terms, weighed by
+BM25, are in an inverted index with block maxima; windows of the documents are its queries, and every item whose score
+can reach its threshold is retrieved. The threshold is what verification needs at least: one term that is no turn of
+phrase. Every place where a document and a retrieved item hold the same term is then followed in both directions along
+equal words, across single changed, missing or inserted words and across page heads. Passages of at least ten words
+(twenty Chinese characters), of which ``DENSITY`` are equal, count, and they must cover a third of the item. Terms that
+many items have are turns of phrase: a passage whose intact terms, however few, are such on average doesn't count. So
+they are not in the index and nothing need be followed from them.
+
+No higher threshold would do: ten words of which two are changed lie in at most three runs, one of them of three words
 or more; twenty characters of which four are changed lie in five runs, one of them of four or more. So a passage that
 counts has one intact term at least, and marks inside it may leave no more than that. All places of a batch are
 followed at once in arrays, and most end after one step.
 
-No shuffle: documents are read once. The items are held-out test material of a fixed size; beyond ``SHARD`` items they
-are split and the documents are read once for each part; how common a term is is counted over all items before.
-
-``build_index`` and ``retrieve`` score passages by BM25 over the same terms with block maxima as bounds. ``leaks`` does
-not use them: a least score drops passages with few intact terms.
+No shuffle of documents: they are read once. The index is broadcast, so its size is checked before: beyond ``SHARD``
+items or ``SHARD_CHARS`` characters the items are split, each part is brought to the driver by itself and the documents
+are read once for each; how common a term is is counted over all items before, so the parts change nothing.
 
 Defined results: null texts and null ids hold nothing; empty texts hold nothing; repeated document rows give the same
 rows once; items without enough words for one term cannot leak; ties don't matter since nothing is ranked.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.lookalikes import Lookalikes
 from leafmill.llm.words import WordReader, Words, grams, portions
-from leafmill.runtime import load, ship, tune_arrow
+from leafmill.runtime import load, ship, stage, tune_arrow
 
 GRAM, HAN_GRAM = 3, 4
 WINDOW, STRIDE = 64, 32
@@ -46,7 +47,7 @@ DENSITY = 0.8
 TELLING = 0.6  # weight, in mean terms of the item, of a term that is no turn of phrase, and of a passage's intact terms on average
 KEPT = 0.15  # share of an item's weight that ``retrieve`` asks for
 K1, B = 1.2, 0.75
-SHARD = 50_000
+SHARD, SHARD_CHARS = 50_000, 50_000_000
 HEAD = 14  # words of a page head or line mark that a passage may run across
 PAD = 2 * HEAD  # places between two texts, more than a passage may run across
 PLACES = 1 << 18  # places followed at a time
@@ -81,15 +82,20 @@ def build_index(item_ids: list[int], texts: list[str], reader: WordReader) -> It
     weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm)
     total, count = np.bincount(items, weight, n), np.maximum(np.bincount(items, minlength=n), 1)
     threshold = np.where(total > 0, np.minimum(MIN_TERMS, count * SHARE) * total / count, np.inf)
+    return _with_blocks(np.array(item_ids), terms, np.append(begin, len(items)), items, weight, threshold, total)
+
+
+def _with_blocks(item_ids: np.ndarray, terms: np.ndarray, begin: np.ndarray, items: np.ndarray, weight: np.ndarray, threshold: np.ndarray, total: np.ndarray) -> ItemIndex:
+    """The index with the largest weight of each term and the least threshold in each block of items."""
+    n = len(item_ids)
     blocks = (n + BLOCK - 1) // BLOCK
-    term_no = np.repeat(np.arange(len(terms)), df)
-    bkey = term_no * blocks + items // BLOCK
+    bkey = np.repeat(np.arange(len(terms)), np.diff(begin)) * blocks + items // BLOCK
     bterm, bfirst = np.unique(bkey, return_index=True)
     block_max = np.maximum.reduceat(weight, bfirst) if len(bfirst) else weight
     block_begin = np.searchsorted(bterm, np.arange(len(terms) + 1) * blocks)
     padded = np.full(blocks * BLOCK, np.inf)
     padded[:n] = threshold
-    return ItemIndex(np.array(item_ids), threshold, total, terms, np.append(begin, len(items)), items, weight, block_begin, bterm % blocks, block_max, padded.reshape(blocks, BLOCK).min(1))
+    return ItemIndex(item_ids, threshold, total, terms, begin, items, weight, block_begin, bterm % blocks, block_max, padded.reshape(blocks, BLOCK).min(1))
 
 
 def _expand(begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +105,9 @@ def _expand(begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + begin[which][row]
 
 
-def retrieve(index: ItemIndex, number: np.ndarray, pos: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """(text, item) of all passages that reach an item's threshold; one row of the result a pair."""
+def retrieve(index: ItemIndex, number: np.ndarray, pos: np.ndarray, text: np.ndarray, kept: float | None = None) -> np.ndarray:
+    """(text, item) of all passages that reach an item's threshold; one row of the result a pair. ``kept``: share of the
+    item's weight that all of them together must have."""
     at = np.searchsorted(index.terms, number)
     at[at == len(index.terms)] = 0
     hit = np.flatnonzero(index.terms[at] == number) if len(index.terms) else np.zeros(0, np.int64)
@@ -142,7 +149,7 @@ def retrieve(index: ItemIndex, number: np.ndarray, pos: np.ndarray, text: np.nda
     distinct = np.unique(of * len(index.terms) + term[row[mine]], return_index=True)[1]
     found, place = np.unique(of[distinct], return_inverse=True)
     weight = np.bincount(place, index.weight[entry[mine][distinct]], len(found))
-    found = found[weight >= KEPT * index.total[found % n]]
+    found = found[weight >= (KEPT if kept is None else kept) * index.total[found % n]]
     return np.stack([found // n, found % n], 1)
 
 
@@ -176,6 +183,7 @@ def spread(w: Words, texts: int, number: np.ndarray, pos: np.ndarray, nothing: i
 @dataclass
 class Items:
     item_id: np.ndarray
+    index: ItemIndex  # of the telling terms
     words: Spread  # with the telling terms
     every: np.ndarray  # term at each place, whatever its weight
     weight: np.ndarray  # its weight
@@ -221,18 +229,29 @@ def weights(number: np.ndarray, item: np.ndarray, n: int, among: Common) -> np.n
 def read_items(item_ids: list[int], texts: list[str], reader: WordReader, among: Common) -> Items:
     w = reader.words(texts)
     number, pos = grams(w, GRAM, HAN_GRAM)
-    weight = weights(number, w.text[pos], len(texts), among)
-    every = spread(w, len(texts), number, pos, 0)
+    item, n = w.text[pos], len(texts)
+    weight = weights(number, item, n, among)
+    every = spread(w, n, number, pos, 0)
     share = np.zeros(len(every.term))
     share[every.start] = weight
-    number, pos = number[weight >= TELLING], pos[weight >= TELLING]
-    words = spread(w, len(texts), number, pos, 0)
+    telling = weight >= TELLING
+    number, pos, item, weight = number[telling], pos[telling], item[telling], weight[telling]
+    words = spread(w, n, number, pos, 0)
     order = np.argsort(number, kind="stable")
     terms, begin = np.unique(number[order], return_index=True)
-    size = np.bincount(w.text, minlength=len(texts))
-    han = np.bincount(w.text, w.han, len(texts)) > 0.5 * size
-    first = np.cumsum(size) - size + PAD * np.arange(1, len(texts) + 1)
-    return Items(np.array(item_ids), words, every.term, share, terms, np.append(begin, len(number)), words.start[order], size, first, np.where(han, MIN_HAN, MIN_WORDS))
+    size = np.bincount(w.text, minlength=n)
+    han = np.bincount(w.text, w.han, n) > 0.5 * size
+    first = np.cumsum(size) - size + PAD * np.arange(1, n + 1)
+    # the inverted index: a posting a term and item, weighed by BM25; one posting's weight is the least that can count
+    key, at, tf = np.unique(np.stack([number, item.astype(np.uint64)]), axis=1, return_index=True, return_counts=True)
+    held = key[1].astype(np.int64)
+    norm = K1 * (1 - B + B * size[held] / max(size.mean(), 1)) if n else np.zeros(0)
+    score = weight[at] * tf * (K1 + 1) / (tf + norm)
+    least = np.full(n, np.inf)
+    np.minimum.at(least, held, score)
+    index = _with_blocks(np.array(item_ids), terms, np.searchsorted(key[0], np.append(terms, np.uint64(2**64 - 1))), held, score, least, np.bincount(held, score, n))
+    index.begin[-1] = len(held)
+    return Items(np.array(item_ids), index, words, every.term, share, terms, np.append(begin, len(number)), words.start[order], size, first, np.where(han, MIN_HAN, MIN_WORDS))
 
 
 def _follow(a: Spread, b: Spread, i: np.ndarray, j: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -275,6 +294,8 @@ def held(items: Items, docs: Spread) -> np.ndarray:
     at[at == len(items.terms)] = 0
     hit = np.flatnonzero(items.terms[at] == number) if len(items.terms) else np.zeros(0, np.int64)
     term, where = at[hit], docs.start[hit]
+    pairs = retrieve(items.index, number[hit], where, docs.text[where], 0.0)
+    retrieved = np.sort(pairs[:, 0] * len(items.item_id) + pairs[:, 1])
     passages = [np.zeros((0, 3), np.int64)]
     turn = np.cumsum(items.begin[term + 1] - items.begin[term]) // PLACES
     for lo, hi in zip(*(np.searchsorted(turn, np.unique(turn), side) for side in ("left", "right"))):
@@ -282,6 +303,9 @@ def held(items: Items, docs: Spread) -> np.ndarray:
         i, j = items.places[entry], where[lo:hi][row]
         begins = a.term[i - 1] != docs.term[j - 1]  # else the place before is in the same run
         i, j = i[begins], j[begins]
+        pair = docs.text[j] * len(items.item_id) + a.text[i]
+        place = np.minimum(np.searchsorted(retrieved, pair), len(retrieved) - 1)
+        i, j = (i[retrieved[place] == pair], j[retrieved[place] == pair]) if len(retrieved) else (i[:0], j[:0])
         right, more = _follow(a, docs, i, j, 1)
         left, fewer = _follow(a, docs, i - 1, j - 1, -1)
         size = right - left + 1
@@ -308,15 +332,27 @@ def leaks(docs: DataFrame, items: DataFrame, lookalikes: Lookalikes) -> DataFram
     spark = docs.sparkSession
     ship(spark)
     tune_arrow(spark)
-    rows = sorted({(r.item_id, r.text) for r in items.filter("item_id is not null and text is not null").select("item_id", "text").collect()})
     reader = WordReader(lookalikes.rewrites)
-    among = common([r[1] for r in rows], reader)
+    whole = stage(items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct(), "items")
+    size = whole.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    shards = max(-(-size.n // SHARD), -(-size.chars // SHARD_CHARS))
+    counted = None if shards < 2 else stage(_terms(whole, lookalikes).groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "terms")
     parts = []
     slim = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for first in range(0, len(rows), SHARD):
-        shard = rows[first : first + SHARD]
+    rewrites = lookalikes.rewrites
+    for k in range(shards):
+        part = whole if counted is None else whole.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
+        shard = sorted((r.item_id, r.text) for r in part.collect())  # within the sizes above
+        if not shard:
+            continue
+        if counted is None:
+            among = common([text for _, text in shard], reader)
+        else:
+            own = _terms(part, lookalikes).select("term").distinct().join(counted, "term").orderBy("term").toPandas()
+            term, df = own["term"].to_numpy(np.int64).view(np.uint64), own["df"].to_numpy(np.int64)
+            order = np.argsort(term)
+            among = Common(size.n, term[order], df[order])
         shared = spark.sparkContext.broadcast(read_items([r[0] for r in shard], [r[1] for r in shard], reader, among))
-        rewrites = lookalikes.rewrites
 
         def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             own, known = WordReader(rewrites), shared.value
@@ -333,6 +369,22 @@ def leaks(docs: DataFrame, items: DataFrame, lookalikes: Lookalikes) -> DataFram
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def _terms(items: DataFrame, lookalikes: Lookalikes) -> DataFrame:
+    """term: one row for each term of each item."""
+    rewrites = lookalikes.rewrites
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = WordReader(rewrites)
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for lo, hi in portions(texts):
+                w = own.words(texts[lo:hi])
+                number, pos = grams(w, GRAM, HAN_GRAM)
+                yield pd.DataFrame({"term": np.unique(np.stack([number, w.text[pos].astype(np.uint64)]), axis=1)[0].view(np.int64)})
+
+    return items.select("text").mapInPandas(read, "term long")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id LONG, item_id LONG."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")

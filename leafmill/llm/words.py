@@ -18,7 +18,6 @@ from leafmill.llm.lookalikes import Rewriter
 
 TOP = 0x30000
 DIVIDED = re.compile(r"(?<=\w)[-‐‑­][ \t]*\r?\n\s*(?=[^\W\d_])")
-_LONGEST = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,14 +65,21 @@ class WordReader:
         self.longer = Rewriter(longer)
         self.value = _mix(np.arange(TOP) + 0x9E3779B9)
         self.value[0] = 0
-        power = [1]
-        for _ in range(_LONGEST - 1):
-            power.append(power[-1] * 0x9E3779B97F4A7C15 % 2**64)
-        self.power = np.array(power, np.uint64)
+        self.power = np.ones(64, np.uint64)
+        self._powers(64)
         self.is_han = np.zeros(TOP, bool)
         self.is_han[0x3400:0xA000] = True
         self.is_han[0x20000:TOP] = True
 
+    def _powers(self, most: int) -> np.ndarray:
+        """The weight of each place in a word, for words of up to ``most`` characters."""
+        if most > len(self.power) or self.power[1] == 1:
+            step = np.full(max(most, 2 * len(self.power)), np.uint64(0x9E3779B97F4A7C15))
+            step[0] = 1
+            with np.errstate(over="ignore"):
+                self.power = np.multiply.accumulate(step)
+        return self.power
+
     def words(self, texts: list[str], lengths: bool = False) -> Words:
         texts = [self.longer(DIVIDED.sub("", t) if "\n" in t else t) for t in texts]
         joined = "\0".join(texts)
@@ -97,9 +103,12 @@ class WordReader:
         # position of each character in its word
         pos = np.arange(len(c), dtype=np.int32)
         pos -= np.repeat(start, np.diff(np.append(start, len(c)))).astype(np.int32) if start[0] == 0 else np.concatenate([np.zeros(start[0], np.int64), np.repeat(start, np.diff(np.append(start, len(c))))]).astype(np.int32)
-        np.minimum(pos, _LONGEST - 1, out=pos)
+        power = self.power
+        if pos.max() >= len(power):
+            pos[~inside] = 0  # breaks behind a word are no part of it
+            power = self._powers(int(pos.max()) + 1)
         with np.errstate(over="ignore"):
-            number = np.add.reduceat(self.value[c] * self.power[pos], start)
+            number = np.add.reduceat(self.value[c] * power[pos], start)
         where = start if at is None else at[start]
         return Words(number, np.searchsorted(ends, where, "right"), han[start], where, self.upper[points[start]], np.add.reduceat(inside.astype(np.int64), start) if lengths else None)
 

@@ -181,3 +181,24 @@ def test_parts_of_the_items_change_nothing(spark, monkeypatch):
     assert whole == {(2, 3)}
     monkeypatch.setattr(leakage, "SHARD", 1)
     assert found(spark, docs, items) == whole
+
+
+def test_long_words_keep_the_order_of_their_letters():
+    long = "ab" * 40
+    a, b, c = numbers(long + "xyz", long + "zyx", (long + "xyz") * 500)
+    assert a != b and len(c) == 1 and numbers((long + "xyz") * 500)[0] == c
+
+
+def test_what_counts_is_retrieved(corpus):
+    """No window with a telling term is below its item's threshold, and none without one is retrieved."""
+    items, docs, want = corpus
+    texts = [" ".join(w) for w in items.values()]
+    known = leakage.read_items(list(items), texts, READER, leakage.common(texts, READER))
+    w = READER.words([t for _, t, _ in docs])
+    number, pos = grams(w, leakage.GRAM, leakage.HAN_GRAM)
+    got = {tuple(p) for p in leakage.retrieve(known.index, number, pos, w.text[pos], 0.0).tolist()}
+    telling = {}
+    for t in range(len(known.index.terms)):
+        for k in range(known.index.begin[t], known.index.begin[t + 1]):
+            telling.setdefault(int(known.index.terms[t]), set()).add(int(known.index.items[k]))
+    assert got == {(int(w.text[p]), i) for n, p in zip(number, pos) for i in telling.get(int(n), ())} and got >= want
