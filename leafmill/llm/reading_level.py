@@ -2,15 +2,18 @@
 
 A Rasch-style latent difficulty model. Document d stands at level t(d), word w at a difficulty given by its base rate
 a(w) and slope b(w): its occurrences in n(d) words have the rate n(d) exp(a(w) + b(w) t(d)), so that hard words come
-with high levels and easy ones with low. Levels and difficulties are estimated in turn: given the words, the level
-of every document is the best point of a grid (a pass over the documents); given the levels, the words' parameters
-follow by Newton steps from two sums that the pass has gathered over all documents. The scale starts from graded
-documents, and after each turn it is fixed on them again. Cuts between the grades are the points with the fewest
-grades on the wrong side; between points about as good (raters err) the one where documents of any kind are rarest.
-
-All corpus counts cover all documents. Only the graded sample is bounded: at most ``GRADED`` graded documents, chosen
-by a hash, are used to fix scale and cuts. The vocabulary is bounded by its document share ``MIN_SHARE``: documents
-have some hundred different words, so at most some hundred/MIN_SHARE words pass, however large the corpus.
+with high levels and easy ones with low. (With one slope for all words, as in Rasch's own model, the level cancels out
+of the shares that words have of a text.) Levels and difficulties are estimated in turn: given the words, the level of
+every document is the best point of a grid (a pass over the documents); given the levels, the words' parameters follow by
+Newton steps from two sums that the pass has gathered over all documents. The turns end when levels have settled: when
+the share of words whose document is at another level than before, as far as the distribution shows, is below
+``SETTLED``, or after ``TURNS``. The scale starts from graded documents, and after each turn it is fixed on them again.
+Cuts between the grades are the points with the fewest grades on the wrong side; between points about as good (raters
+err) the one where documents of any kind are rarest.
+
+All words of all documents count. Words are told apart by ``SLOTS`` numbers, which bounds the model, not what it is made
+of: beyond some 100,000 different words the rarest share a slot with others, and none is left out. Only the graded
+sample is bounded: at most ``GRADED`` graded documents, chosen by a hash, are used to fix scale and cuts.
 
 Defined results: null texts, texts of fewer than ``MIN_WORDS`` words and texts that are not English by their function
 words have no row; repeated rows of a document give one row; null grades and grades of unknown documents are ignored,
@@ -35,20 +38,21 @@ from leafmill.runtime import load, ship, stage, tune_arrow
 FUNCTION_WORDS = "the of and was in it that to with for as a which on at by this under before after near not one had its is are be from his her their they you i we he she there"
 ENGLISH = 0.15
 MIN_WORDS = 40
-MIN_SHARE = 0.003
+SLOTS = 1 << 18
 GRADED = 20_000
-TURNS = 3
+TURNS, SETTLED = 12, 0.02
 GRADES = 4
 SLACK = 0.0075  # share of the graded documents by which a cut may be worse than the best and still count as good
 GRID = np.linspace(-3.5, 3.5, 141)
 RIDGE, PRIOR = 1.0, 1.0
+NOTHING = -1e3
 START = 0.3  # slope of a word that is longer than others by one deviation, where there are no grades
 
-VECTOR = "doc_id long, n int, words array<long>, counts array<int>"
+VECTOR = "doc_id long, n int, words array<int>, counts array<int>"
 
 
 def english_vectors(docs: DataFrame, rewrites: dict[str, str]) -> DataFrame:
-    """doc_id, number of words, different words (as numbers) and their counts, of English documents."""
+    """doc_id, number of words, different words (as slots) and their counts, of English documents."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = WordReader(rewrites)
@@ -62,7 +66,7 @@ def english_vectors(docs: DataFrame, rewrites: dict[str, str]) -> DataFrame:
                 share = np.bincount(w.text, function[at] == w.number, len(part)) / np.maximum(n, 1)
                 good = (n >= MIN_WORDS) & (share >= ENGLISH)
                 keep = good[w.text]
-                number, text = w.number[keep].view(np.int64), w.text[keep]
+                number, text = (w.number[keep] % np.uint64(SLOTS)).astype(np.int32), w.text[keep]
                 order = np.lexsort((number, text))
                 number, text = number[order], text[order]
                 first = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (text[1:] != text[:-1])])) if len(number) else np.zeros(0, np.int64)
@@ -87,109 +91,98 @@ def _flat(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(batch)), size), np.concatenate(batch["words"].to_list()), np.concatenate(batch["counts"].to_list())
 
 
-def vocabulary(vectors: DataFrame, documents: int) -> np.ndarray:
-    """Words in at least ``MIN_SHARE`` of the documents, as sorted numbers."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            word, n = np.unique(_flat(batch)[1], return_counts=True)
-            yield pd.DataFrame({"w": word, "n": n})
-
-    least = max(5, int(MIN_SHARE * documents))
-    rows = vectors.select("words", F.col("words").alias("counts")).mapInPandas(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return np.sort(np.array([r.w for r in rows.collect()], np.int64))
-
-
-def lengths(docs: DataFrame, words: np.ndarray, rewrites: dict[str, str]) -> np.ndarray:
-    """Letters of each word of the vocabulary."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def lengths(docs: DataFrame, rewrites: dict[str, str]) -> np.ndarray:
+    """Mean number of letters of the words in each slot."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, known = WordReader(rewrites), shared.value
-        longest = np.zeros(len(known), np.int64)
+        own = WordReader(rewrites)
+        letters, n = np.zeros(SLOTS), np.zeros(SLOTS)
         for batch in batches:
             texts = batch["text"].tolist()
             for lo, hi in portions(texts):
                 w = own.words(texts[lo:hi], lengths=True)
-                number = w.number.view(np.int64)
-                at = np.minimum(np.searchsorted(known, number), len(known) - 1)
-                hit = known[at] == number
-                np.maximum.at(longest, at[hit], w.length[hit])
-        yield pd.DataFrame({"k": np.arange(len(known)), "n": longest})
-
-    rows = docs.select("text").mapInPandas(measure, "k long, n long").groupBy("k").agg(F.max("n").alias("n")).toPandas()
-    out = np.zeros(len(words))
-    out[rows["k"]] = rows["n"]
+                slot = (w.number % np.uint64(SLOTS)).astype(np.int64)
+                letters += np.bincount(slot, w.length, SLOTS)
+                n += np.bincount(slot, minlength=SLOTS)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"k": at, "x": letters[at], "n": n[at]})
+
+    rows = docs.select("text").mapInPandas(measure, "k long, x double, n double").groupBy("k").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SLOTS)
+    out[rows["k"]] = rows["x"] / rows["n"]
     return out
 
 
-def narrowed(vectors: DataFrame, words: np.ndarray) -> DataFrame:
-    """The vectors with places in the vocabulary instead of word numbers."""
-    shared = vectors.sparkSession.sparkContext.broadcast(words)
-
-    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        for batch in batches:
-            doc, word, count = _flat(batch)
-            at = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
-            hit = known[at] == word if len(known) else np.zeros(len(word), bool)
-            doc, at, count = doc[hit], at[hit], count[hit]
-            edge = np.searchsorted(doc, np.arange(len(batch) + 1))
-            pairs = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": np.bincount(doc, count, len(batch)).astype(np.int32), "words": [at[i:j].astype(np.int32) for i, j in pairs], "counts": [count[i:j].astype(np.int32) for i, j in pairs]})
-
-    return vectors.mapInPandas(narrow, "doc_id long, n int, words array<int>, counts array<int>")
-
-
 class Difficulty:
-    """Parameters of the words and what follows from them."""
+    """Parameters of the words and what follows from them. Slots that no word has stay at a rate of nothing."""
 
     def __init__(self, base: np.ndarray, slope: np.ndarray):
         self.base, self.slope = base, slope
+        self._expected: np.ndarray | None = None
+
+    def expected(self) -> np.ndarray:
+        """Logarithm of the rates of all words together, at each level of the grid."""
+        if self._expected is None:
+            used = np.flatnonzero(self.base > NOTHING)
+            parts = (used[i : i + 4096, None] for i in range(0, len(used), 4096))
+            self._expected = np.log(sum((np.exp(self.base[w] + self.slope[w] * GRID).sum(0) for w in parts), np.full(len(GRID), 1e-300)))
+        return self._expected
 
     def levels(self, batch: pd.DataFrame) -> np.ndarray:
         """Index on the grid of each document's level."""
         doc, word, count = _flat(batch)
+        known = self.base[word] > NOTHING
+        n = np.bincount(doc, count * known, len(batch))
         pull = np.bincount(doc, count * self.slope[word], len(batch))
-        expected = np.log(sum(np.exp(self.base[i : i + 4096, None] + self.slope[i : i + 4096, None] * GRID).sum(0) for i in range(0, len(self.base), 4096)))
-        score = pull[:, None] * GRID - batch["n"].to_numpy()[:, None] * expected - PRIOR * GRID**2 / 2
+        score = pull[:, None] * GRID - n[:, None] * self.expected() - PRIOR * GRID**2 / 2
         return score.argmax(1)
 
     def turn(self, seen: np.ndarray, leaning: np.ndarray, mass: np.ndarray, at: np.ndarray) -> None:
         """Newton steps for the words: ``seen`` and ``leaning`` are sums of counts and of counts times level, ``mass``
-        the number of words of documents at each of the levels ``at``."""
-        for _ in range(8):
-            for i in range(0, len(self.base), 4096):
-                part = slice(i, i + 4096)
-                rate = np.exp(np.clip(self.base[part, None] + self.slope[part, None] * at, -30, 5)) * mass
-                s0, s1, s2 = rate.sum(1), (rate * at).sum(1), (rate * at**2).sum(1)
-                da, db = seen[part] - s0, leaning[part] - s1 - RIDGE * self.slope[part]
+        the number of words of documents at each of the levels ``at``. Words not met before start at their share."""
+        self._expected = None
+        new = (seen > 0) & (self.base <= NOTHING)
+        self.base[new] = np.log(seen[new] / mass.sum())
+        used = np.flatnonzero(seen > 0)
+        there = mass > 0
+        mass, at = mass[there], at[there]
+        for i in range(0, len(used), 4096):
+            part = used[i : i + 4096]
+            base, slope = self.base[part], self.slope[part]
+            for _ in range(8):
+                rate = np.exp(np.clip(base[:, None] + slope[:, None] * at, -30, 5)) * mass
+                s0, s1, s2 = rate.sum(1), rate @ at, rate @ at**2
+                da, db = seen[part] - s0, leaning[part] - s1 - RIDGE * slope
                 haa, hbb = s0 + 1e-3, s2 + RIDGE
                 det = haa * hbb - s1**2
-                self.base[part] += np.clip((hbb * da - s1 * db) / det, -1, 1)
-                self.slope[part] += np.clip((haa * db - s1 * da) / det, -1, 1)
+                base = base + np.clip((hbb * da - s1 * db) / det, -1, 1)
+                slope = slope + np.clip((haa * db - s1 * da) / det, -1, 1)
+            self.base[part], self.slope[part] = base, slope
 
 
-def gathered(vectors: DataFrame, model: Difficulty, scale: tuple[float, float], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One pass: levels of all documents and the sums that the words' turn needs (seen, leaning, mass on the grid)."""
+def gathered(vectors: DataFrame, model: Difficulty, scale: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One pass: levels of all documents and the sums that the words' turn needs (seen, leaning, mass on the grid).
+    A task gives one row for each slot it has met; there are never more rows to fetch than slots."""
+    model.expected()
     shared = vectors.sparkSession.sparkContext.broadcast((model, scale))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, (k, c) = shared.value
-        seen, leaning, mass = np.zeros(size), np.zeros(size), np.zeros(len(GRID))
+        seen, leaning, mass = np.zeros(SLOTS), np.zeros(SLOTS), np.zeros(len(GRID))
         for batch in batches:
             at = own.levels(batch)
             level = k * GRID[at] + c
             doc, word, count = _flat(batch)
-            seen += np.bincount(word, count, size)
-            leaning += np.bincount(word, count * level[doc], size)
+            seen += np.bincount(word, count, SLOTS)
+            leaning += np.bincount(word, count * level[doc], SLOTS)
             mass += np.bincount(at, batch["n"], len(GRID))
-        yield pd.DataFrame({"k": np.arange(size + len(GRID)), "x": np.concatenate([seen, mass]), "y": np.concatenate([leaning, np.zeros(len(GRID))])})
+        met = np.flatnonzero(seen)
+        yield pd.DataFrame({"k": np.concatenate([met, SLOTS + np.arange(len(GRID))]), "x": np.concatenate([seen[met], mass]), "y": np.concatenate([leaning[met], np.zeros(len(GRID))])})
 
     sums = vectors.mapInPandas(run, "k long, x double, y double").groupBy("k").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).toPandas()
-    x, y = np.zeros(size + len(GRID)), np.zeros(size + len(GRID))
+    x, y = np.zeros(SLOTS + len(GRID)), np.zeros(SLOTS + len(GRID))
     x[sums["k"]], y[sums["k"]] = sums["x"], sums["y"]
-    return x[:size], y[:size], x[size:]
+    return x[:SLOTS], y[:SLOTS], x[SLOTS:]
 
 
 def cuts(level: np.ndarray, grade: np.ndarray, mass: np.ndarray) -> np.ndarray:
@@ -225,50 +218,49 @@ def reading_levels(docs: DataFrame, grades: DataFrame, lookalikes: Lookalikes) -
     ship(spark)
     tune_arrow(spark)
     slim = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    raw = stage(english_vectors(slim, lookalikes.rewrites), "vectors")
-    documents = raw.count()
-    words = vocabulary(raw, documents)
-    if not documents or not len(words):
+    vectors = stage(english_vectors(slim, lookalikes.rewrites), "vectors")
+    if vectors.isEmpty():
         return spark.createDataFrame([], "doc_id long, grade int")
-    vectors = stage(narrowed(raw, words), "narrowed")
-    size = len(words)
 
     votes = grades.filter(F.col("grade").between(1, GRADES)).groupBy("doc_id", "rater").agg(F.min("grade").alias("grade")).groupBy("doc_id").agg(F.collect_list("grade").alias("votes"))
     graded = votes.orderBy(F.xxhash64("doc_id")).limit(GRADED)
     sample = vectors.join(F.broadcast(graded), "doc_id").dropDuplicates(["doc_id"]).toPandas()
-    model = Difficulty(np.zeros(size), np.zeros(size))
+    model = Difficulty(np.full(SLOTS, NOTHING), np.zeros(SLOTS))
     grade = np.array([median(v) for v in sample["votes"]]) if len(sample) else np.zeros(0)
     middle = (1 + GRADES) / 2
     if len(sample):
         doc, word, count = _flat(sample)
         level = grade - middle
-        seen, leaning = np.bincount(word, count, size), np.bincount(word, count * level[doc], size)
+        seen, leaning = np.bincount(word, count, SLOTS), np.bincount(word, count * level[doc], SLOTS)
         at, place = np.unique(level, return_inverse=True)
         mass = np.bincount(place, sample["n"])
     else:  # no grades: the scale starts from the length of words, which only fixes its direction
-        seen, leaning, mass = gathered(vectors, model, (1.0, 0.0), size)
-        long = lengths(slim, words, lookalikes.rewrites)
-        mean = np.average(long, weights=seen + 1e-9)
-        spread = np.sqrt(np.average((long - mean) ** 2, weights=seen + 1e-9))
-        model = Difficulty(np.log((seen + 0.5) / (mass.sum() + 1)), (long - mean) / max(spread, 1e-6) * START)
-        seen, leaning, mass = gathered(vectors, model, (1.0, 0.0), size)
+        seen, leaning, mass = gathered(vectors, model, (1.0, 0.0))
+        long = lengths(slim, lookalikes.rewrites)
+        mean = np.average(long, weights=seen)
+        spread = np.sqrt(np.average((long - mean) ** 2, weights=seen))
+        model = Difficulty(np.where(seen > 0, np.log(np.maximum(seen, 0.5) / mass.sum()), NOTHING), np.where(seen > 0, (long - mean) / max(spread, 1e-6) * START, 0.0))
+        seen, leaning, mass = gathered(vectors, model, (1.0, 0.0))
         at = GRID
-    model.base = np.log((seen + 0.5) / (mass.sum() + 1))
     model.turn(seen, leaning, mass, at)
-    scale = (1.0, 0.0)
+    scale, before = (1.0, 0.0), None
     for turn in range(TURNS):
         if len(sample) > 2:
             own = GRID[model.levels(sample)]
             if own.std() > 1e-6:
                 k, c = np.polyfit(own, grade - middle, 1)
                 scale = (float(k), float(c))
-        seen, leaning, mass = gathered(vectors, model, scale, size)
-        if turn < TURNS - 1:
-            model.turn(seen, leaning, mass, scale[0] * GRID + scale[1])
+        seen, leaning, mass = gathered(vectors, model, scale)
+        moved = 1.0 if before is None else np.abs(np.cumsum(mass / mass.sum() - before / before.sum())).max()
+        if turn == TURNS - 1 or moved < SETTLED:
+            break
+        before = mass
+        model.turn(seen, leaning, mass, scale[0] * GRID + scale[1])
     if len(sample):
         between = cuts(GRID[model.levels(sample)], grade, mass)
     else:
         between = quartiles(vectors, model)
+    model.expected()
     final = spark.sparkContext.broadcast((model, between))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
