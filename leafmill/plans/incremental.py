@@ -27,8 +27,8 @@ def changed_records(spark: SparkSession, runs: DataFrame, logs: dict[str, tuple[
     plan = runs.select("run_id", "started_at", "outcome").distinct().filter("started_at is not null").withColumn("us", F.unix_micros("started_at")).orderBy("us", "run_id").collect()
     for run in plan:
         if done is None or run.us > done:
-            landed = F.unix_micros("landed_at")
-            cut = (landed <= run.us) if done is None else (landed > done) & (landed <= run.us)
+            upto = F.col("landed_at") <= F.timestamp_micros(F.lit(run.us))  # literals, so that the scan can skip what landed at other times
+            cut = upto if done is None else upto & (F.col("landed_at") > F.timestamp_micros(F.lit(done)))
             with ThreadPoolExecutor(len(sources)) as pool:  # the tables are independent; each commit is a few short jobs
                 list(pool.map(lambda kind: sources[kind].append_log(logs[kind][0].filter(cut), F.col("landed_at"), {"upto": run.us}), sources))
         done = run.us

@@ -86,3 +86,60 @@ def test_streaming_takes_each_batch_once(spark, tmp_path):
     log(spark, [(2, "a", 0, 1, 1)]).write.mode("append").parquet(source)
     ingest(spark, source, first.schema, t, f"file://{tmp_path}/cp").awaitTermination(60)
     assert sorted(r.id for r in t.read().collect()) == [1, 2]
+
+
+def test_raced_commits_have_one_winner(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from leafmill.operators.versioned import Manifest
+
+    def commit(k):
+        try:
+            return table(spark, tmp_path / "race")._commit(Manifest(k // 8 + 1, meta={"who": k}))
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(commit, range(80)))
+    assert [sum(v == k for v in won) for k in range(1, 11)] == [1] * 10
+    assert {table(spark, tmp_path / "race").manifest(k).meta["who"] // 8 + 1 for k in range(1, 11)} == set(range(1, 11))
+
+
+def test_a_commit_reads_in_proportion_to_its_slice(spark, tmp_path):
+    """The tenth slice of a hundred keys against tables of two sizes: what it reads doesn't follow the table."""
+    read = []
+    for n in (8_000, 64_000):
+        t = VersionedTable(spark, f"file://{tmp_path}/{n}", ["id"], ["state"], "updated_at", part_bytes=4_000, small_bytes=10_000)
+        rows = spark.range(n).select("id", F.sha1(F.col("id").cast("string")).alias("state"), F.lit(T0).alias("updated_at"), F.lit(T0).alias("landed_at"))
+        t.append_log(rows, F.col("landed_at"))
+        t.compact()
+        for k in range(10):
+            some = spark.range(4).select((F.col("id") * 977 + 31 * k).alias("id"), F.lit(f"s{k}").alias("state"), F.lit(T0 + timedelta(hours=k + 1)).alias("updated_at"), F.lit(T0).alias("landed_at"))
+            t.append_log(some, F.col("landed_at"))
+        last = [m for m in map(t.manifest, t.versions()) if m.data_change][-1]
+        read.append(last.meta["read_bytes"])
+        assert t.read().count() == n and {r.state for r in t.read().filter("id in (279, 1256)").collect()} == {"s9"}
+    assert read[1] < 2 * read[0]
+
+
+def test_merged_runs_change_no_record(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    t = VersionedTable(spark, f"file://{tmp_path}/t", ["id"], ["state", "attempts"], "updated_at", part_bytes=3_000, small_bytes=1_000)
+    standing, upto = [{}], [0]
+    for k in range(20):
+        rows = [(rng.randrange(60), rng.choice("abc"), rng.randrange(2), k + rng.choice((0, 0, -3)), k) for _ in range(12)]
+        t.append_log(log(spark, rows), F.col("landed_at"))
+        upto.append(t.latest())
+        now = dict(standing[-1])
+        for i, s, a, u, l in rows:
+            if i not in now or (u, l, s, a) > now[i]:
+                now[i] = (u, l, s, a)
+        standing.append(now)
+    assert any(not t.manifest(v).data_change for v in t.versions()) and max(len(t._runs(v)) for v in t.versions()) < 12
+    for a, b in [(0, 20), (3, 17), (9, 10), (12, 20), (19, 20)]:
+        got = {(r.id, r.change) for r in t.changes(upto[a], upto[b]).collect()}
+        before, after = standing[a], standing[b]
+        assert got == {(i, "changed" if i in before else "new") for i in after if i not in before or before[i][2:] != after[i][2:]}
+    assert {(r.id, r.state, r.attempts) for r in t.read().collect()} == {(i, v[2], v[3]) for i, v in standing[-1].items()}
