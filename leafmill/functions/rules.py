@@ -14,10 +14,13 @@ PAGE_TOKEN = r"(?:\p{Nd}+|(?i:(?=[ivxlcdm])m{0,4}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{
 CHAPTER_LINE = r"(?i)^(chapter|part|book|section)[ \t\r\n\f\x{a0}]+[\p{L}\p{N}_]"
 TERMINAL = r"[.!?][\"'’”)\]]*$"
 HEADING_NUMBER = r"(?i)^(chapter|part|book)[ \t\r\n\f\x{a0}]+([0-9]+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty)($|[^\p{L}\p{N}_])"
-NUMBERED = r"^[ \t\r\n\f\x{a0}]*[0-9]+[ \t\r\n\f\x{a0}]*[.)]"
+NUMBERED = r"^[ \t\r\n\f\xa0]*[0-9]+[ \t\r\n\f\xa0]*[.)]"
 MATTER_TITLE = r"(?i)^\s*(index|copyright|acknowledge?ments?|bibliography|references|recommended\s+(reading|bibliography)|(table\s+of\s+)?contents|about\s+the\s+author|also\s+by|by\s+the\s+same\s+author|colophon|credits|permissions|praise\s+for|title\s+page)($|[^\p{L}\p{N}_])"
 MATTER_BODY = r"(?i)all\s+rights\s+reserved|library\s+of\s+congress|(^|[^\p{L}\p{N}_])ISBN($|[^\p{L}\p{N}_])|no\s+part\s+of\s+this\s+(book|publication)|printed\s+(and\s+bound\s+)?in($|[^\p{L}\p{N}_])|penguin\s+(books|group)|catalogue\s+record\s+for\s+this\s+book"
 DEDICATION = r"(?i)^(for|to|in (memory|honor) of|and (for|to))($|[^\p{L}\p{N}_])"
+#: What a title begins and ends with inside its quotation marks; the same for columns and for single documents.
+TITLE_SHAPE = r"(?s)^['\"“”‘’]*(?![\p{Ll}'\"“”‘’]).*[^.!?…,;:'\"“”‘’]['\"“”‘’]*$"
+TITLE_LENGTH, TITLE_WORDS = 60, 12
 SKIP_TOKENS = ("cover", "title-page", "titlepage", "toc", "nav", "contents", "copyright", "colophon", "bibliograph", "acknowledg")
 OPENERS = "—–-“”\"'‘’"
 
@@ -49,8 +52,7 @@ def is_heading(paragraph: Column) -> Column:
 
 def looks_like_title(text: Column) -> Column:
     """Short, not opening in lower case, and without the end of a sentence."""
-    core = F.regexp_replace(text, r"^['\"“”‘’]+|['\"“”‘’]+$", "")
-    return F.coalesce((F.length(text) <= 60) & (word_count(text) <= 12) & (F.length(core) > 0) & ~F.substring(core, 1, 1).rlike(r"\p{Ll}") & ~F.right(core, F.lit(1)).isin(*".!?…,;:"), F.lit(False))
+    return F.coalesce((F.length(text) <= TITLE_LENGTH) & (word_count(text) <= TITLE_WORDS) & text.rlike(TITLE_SHAPE), F.lit(False))
 
 
 def path_skipped(path: Column, skip: tuple[str, ...] = SKIP_TOKENS) -> Column:
@@ -74,6 +76,3 @@ def digit_density(text: Column) -> Column:
 def edition_label(single: Column) -> Column:
     return F.when(single, F.lit("ZH")).otherwise(F.lit("Bilingual EN-ZH"))
 
-
-def is_dedication(text: Column) -> Column:
-    return collapse(text).rlike(DEDICATION)
