@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # The size of body text in each unit.
 BODY_SIZE = {"em": 1.0, "rem": 1.0, "%": 100.0, "px": 16.0, "pt": 12.0}
+ZH_STYLE = "color: #777; font-size: 0.92em;"
 FALLBACK_FONTS = '"PingFang SC", "Noto Sans CJK SC", "Source Han Sans SC", "Microsoft YaHei", sans-serif'
 
 BLOCK = r"([^{}]+\{[^{}]*\})"
@@ -33,7 +34,7 @@ def large_classes(sheets: DataFrame, text: str = "css") -> DataFrame:
     return big.select(*keys, F.explode(F.regexp_extract_all("selector", F.lit(CLASS), F.lit(1))).alias("class")).distinct()
 
 
-def reading_style(large: Iterable[str] = (), base_font: str = "Noto Sans SC", normalize: bool = True, zh_style: str = "color: #777; font-size: 0.92em;") -> str:
+def reading_style(large: Iterable[str] = (), base_font: str = "Noto Sans SC", normalize: bool = True, zh_style: str = ZH_STYLE) -> str:
     """Style of a page: a font for all of it, one size for body text (enlarged classes keep theirs), the translation's look."""
     rules = []
     if base_font.strip():

@@ -26,6 +26,10 @@ GLOSSARY_PROMPT = "Each key of this JSON object may be a proper noun; its value
 JUDGE_PROMPT = f"Each block has an English text and its Chinese translation; blocks are parted by a line {SEPARATOR}. Return a JSON array with one object a block, in order: faithful (1 to 5), missing (true or false), hallucinated (true or false)."
 
 
+#: What a call may fail with; anything else is an error of the program and ends the job.
+FAILURES = (OSError, ValueError, subprocess.SubprocessError)
+
+
 class Backend(Protocol):
     def complete(self, system: str, payload: str) -> str: ...
 
@@ -36,7 +40,7 @@ class Offline:
     def complete(self, system: str, payload: str) -> str:
         if system == JUDGE_PROMPT:
             return json.dumps([{"faithful": 5, "missing": False, "hallucinated": False} for _ in payload.split(SEPARATOR)])
-        if system == GLOSSARY_PROMPT:
+        if system.startswith(GLOSSARY_PROMPT):
             return json.dumps({k: "译名" for k in json.loads(payload)}, ensure_ascii=False)
         return re.sub(r"[A-Za-z]+", "译文", payload.replace(SEPARATOR, "\0")).replace("\0", SEPARATOR)
 
@@ -132,22 +136,31 @@ def judge(pairs: list[tuple[str, str]], backend: Backend) -> list[dict]:
 
 
 def translate_units(todo: DataFrame, prompt: str, backend: Backend) -> DataFrame:
-    """todo: unit_id, texts array<struct<sha,en>> (one row a unit). Out: unit_id, sha, zh, error. A unit whose call
-    fails has one row with its error and no text; no unit is ever split between tasks."""
+    """todo: unit_id, texts array<struct<sha,en>> (one row a unit) and, if units are of several books, book, title and
+    names array<struct<en,zh>>, of which each book's own prompt is made. Out: unit_id, sha, zh, error (and book). A unit
+    whose call fails has one row with its error and no text; no unit is ever split between tasks."""
     ship(todo.sparkSession)
+    books = "names" in todo.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict[str, str] = {}
         for batch in batches:
             rows = []
-            for unit, texts in zip(batch["unit_id"], batch["texts"]):
+            for unit in batch.itertuples():
+                said, more = prompt, ()
+                if books:
+                    more = (unit.book,)
+                    if unit.book not in own:
+                        own = {unit.book: translation_prompt({n["en"]: n["zh"] for n in (() if unit.names is None else unit.names)}, unit.title or "")}
+                    said = own[unit.book]
                 try:
-                    done = translate([t["en"] for t in texts], prompt, backend)
-                    rows += [(unit, t["sha"], zh, None) for t, zh in zip(texts, done)]
-                except Exception as error:  # recorded with the unit; the driver decides about another pass
-                    rows.append((unit, None, None, short_error(error)))
-            yield pd.DataFrame(rows, columns=["unit_id", "sha", "zh", "error"])
+                    done = translate([t["en"] for t in unit.texts], said, backend)
+                    rows += [(unit.unit_id, t["sha"], zh, None, *more) for t, zh in zip(unit.texts, done)]
+                except FAILURES as error:  # recorded with the unit; the driver decides about another pass
+                    rows.append((unit.unit_id, None, None, short_error(error), *more))
+            yield pd.DataFrame(rows, columns=["unit_id", "sha", "zh", "error", *(["book"] if books else [])])
 
-    return todo.mapInPandas(run, "unit_id long, sha string, zh string, error string")
+    return todo.mapInPandas(run, "unit_id long, sha string, zh string, error string" + (", book string" if books else ""))
 
 
 def judge_batches(todo: DataFrame, backend: Backend) -> DataFrame:
@@ -160,7 +173,7 @@ def judge_batches(todo: DataFrame, backend: Backend) -> DataFrame:
             for pairs in batch["pairs"]:
                 try:
                     verdicts = judge([(p["en"], p["zh"]) for p in pairs], backend)
-                except Exception:  # left as it is for the next run
+                except FAILURES:  # left as it is for the next run
                     continue
                 rows += [(p["sha"], v.get("faithful", 5), bool(v.get("missing")), bool(v.get("hallucinated"))) for p, v in zip(pairs, verdicts)]
             yield pd.DataFrame(rows, columns=["sha", "faithful", "missing", "hallucinated"])
@@ -169,9 +182,11 @@ def judge_batches(todo: DataFrame, backend: Backend) -> DataFrame:
 
 
 def pending_units(paragraphs: DataFrame, translations: DataFrame, units: DataFrame) -> DataFrame:
-    """unit_id, texts of the paragraphs that no translation covers, in order. A text that several units hold goes to the first of them."""
+    """book, unit_id, texts of the paragraphs that no translation covers, in order. A text that several units hold goes
+    to the first of them."""
     from leafmill.operators.state import uncached, workable
 
-    open_ = uncached(paragraphs.join(workable(units).select(F.col("id").alias("unit_id")), "unit_id", "left_semi"), translations)
-    first = open_.groupBy("sha").agg(F.min(F.struct("unit_id", "file", "idx", "en")).alias("p"))
-    return first.select(F.col("p.unit_id").alias("unit_id"), F.struct(F.col("p.file").alias("file"), F.col("p.idx").alias("idx"), F.col("sha"), F.col("p.en").alias("en")).alias("t")).groupBy("unit_id").agg(F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(t["sha"].alias("sha"), t["en"].alias("en"))).alias("texts"))
+    open_ = uncached(paragraphs.join(workable(units).select("book", F.col("id").alias("unit_id")), ["book", "unit_id"], "left_semi"), translations)
+    first = open_.groupBy("sha").agg(F.min(F.struct("book", "unit_id", "file", "idx", "en")).alias("p"))
+    texts = first.select("p.book", "p.unit_id", F.struct(F.col("p.file").alias("file"), F.col("p.idx").alias("idx"), F.col("sha"), F.col("p.en").alias("en")).alias("t")).groupBy("book", "unit_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    return texts.select("book", "unit_id", F.transform("t", lambda t: F.struct(t["sha"].alias("sha"), t["en"].alias("en"))).alias("texts"))

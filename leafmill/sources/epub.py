@@ -100,9 +100,10 @@ PAGE_COLUMNS = [c.split()[0] for c in ("source_path", "title", "file", "ord", "h
 
 
 def targets(page_rows: DataFrame, min_words: int = MIN_WORDS, skip: tuple[str, ...] = SKIP_TOKENS, auto_skip: bool = True) -> DataFrame:
-    """book, file, ord, idx, en: texts of the documents that hold the book: not skipped by path, long enough, no matter."""
+    """book, file, ord, idx, en: texts of the documents that hold the book: not skipped by path, long enough, no matter.
+    Rows of ``pages`` may carry the book's name; else it is made from the path."""
     kept = page_rows.filter(F.col("error").isNull() & ~path_skipped(F.col("file"), skip))
-    rows = kept.select(slug(F.col("source_path"), unique=True).alias("book"), "file", F.col("ord").alias("spine"), "heading", F.posexplode("texts").alias("ord", "text")).filter(F.col("text") != "")
+    rows = kept.select((F.col("book") if "book" in page_rows.columns else slug(F.col("source_path"), unique=True)).alias("book"), "file", F.col("ord").alias("spine"), "heading", F.posexplode("texts").alias("ord", "text")).filter(F.col("text") != "")
     words = rows.groupBy("book", "file").agg(F.sum(word_count(F.col("text"))).alias("words")).filter(F.col("words") >= min_words)
     chosen = words.select("book", "file")
     if auto_skip:

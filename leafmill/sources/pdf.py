@@ -23,21 +23,45 @@ def available() -> bool:
 
 
 def texts(spark: SparkSession, path: str, timeout: int = 600) -> DataFrame:
-    """source_path, opening, normal, raw: the first twelve pages, the whole text, and the whole in raw order."""
+    """source_path, title, opening, normal, raw, error: the title that the file gives itself, the first twelve pages, the
+    whole text, and the whole in raw order. A file that the program can't read has its message as error and no text."""
     ship(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for source, content in zip(batch["source_path"], batch["content"]):
-                say = lambda *flags: subprocess.run(["pdftotext", "-q", *flags, "-", "-"], input=content, capture_output=True, timeout=timeout).stdout.decode("utf-8", "replace")  # noqa: B023, E731
-                rows.append((source, say("-f", "1", "-l", "12"), say(), say("-raw")))
-            yield pd.DataFrame(rows, columns=["source_path", "opening", "normal", "raw"])
+
+                def say(program: str, *flags: str, content: bytes = content) -> str:
+                    return subprocess.run([program, *flags], input=content, capture_output=True, timeout=timeout, check=True).stdout.decode("utf-8", "replace")
+
+                try:
+                    parts = [say("pdftotext", "-q", *flags, "-", "-") for flags in (("-f", "1", "-l", "12"), (), ("-raw",))]
+                    rows.append((source, title_of(say("pdfinfo", "-")) if shutil.which("pdfinfo") else None, *parts, None))
+                except (OSError, subprocess.SubprocessError) as error:
+                    said = getattr(error, "stderr", None) or b""
+                    rows.append((source, None, "", "", "", said.decode("utf-8", "replace").strip() or str(error)))
+            yield pd.DataFrame(rows, columns=["source_path", "title", "opening", "normal", "raw", "error"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(path)
-    return files.select(F.col("path").alias("source_path"), "content").mapInPandas(run, "source_path string, opening string, normal string, raw string")
+    return files.select(F.col("path").alias("source_path"), "content").mapInPandas(run, "source_path string, title string, opening string, normal string, raw string, error string")
+
+
+def title_of(info: str) -> str | None:
+    """The title in what ``pdfinfo`` prints."""
+    return next((value.strip() or None for name, _, value in (line.partition(":") for line in info.splitlines()) if name == "Title"), None)
+
+
+def _has_text(read: DataFrame):
+    return F.length(strip(F.coalesce("opening", F.lit("")))) >= LEAST
 
 
 def best_texts(read: DataFrame) -> DataFrame:
-    """source_path, text of the files that have a text layer."""
-    return read.filter(F.length(strip(F.col("opening"))) >= LEAST).select("source_path", better_text(F.col("normal"), F.col("raw")).alias("text"))
+    """source_path, title (the file's own, else its name), text of the files that have a text layer."""
+    name = F.regexp_extract("source_path", r"([^/]*?)(\.[^.]*)?$", 1)
+    return read.filter(_has_text(read)).select("source_path", F.coalesce("title", name).alias("title"), better_text(F.col("normal"), F.col("raw")).alias("text"))
+
+
+def unusable(read: DataFrame) -> DataFrame:
+    """source_path, error of the files without a text layer."""
+    return read.filter(~_has_text(read)).select("source_path", "error")
