@@ -41,10 +41,13 @@ def running_heads(lines: DataFrame, key: str) -> DataFrame:
 
 
 def content_lines(lines: DataFrame, key: str) -> DataFrame:
-    """Lines without page numbers and running heads, stripped."""
-    heads = running_heads(lines, key).select(key, "head")
-    kept = lines.filter(~is_page_line(F.col("text"))).withColumn("head", head_key(F.col("text"))).join(heads, [key, "head"], "left_anti")
-    return kept.select(key, "page", "line_no", strip(F.col("text")).alias("text"))
+    """Lines without page numbers and running heads, stripped. Heads are counted by windows over a document's lines, so
+    the lines are read and shuffled once and the key of a line is made once."""
+    whole, order = Window.partitionBy(key), Window.partitionBy(key).orderBy("page", "line_no")
+    keyed = lines.withColumn("_head", head_key(F.col("text"))).withColumn("_turn", (~F.lag("page").over(order).eqNullSafe(F.col("page"))).cast("int"))
+    counted = keyed.withColumn("_pages", F.sum("_turn").over(whole)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key, "_head")))
+    running = (word_count(F.col("_head")) >= 2) & (F.col("_n") >= F.greatest(F.lit(HEAD_LEAST), F.floor(F.lit(HEAD_SHARE) * F.col("_pages"))))
+    return counted.filter(~running & ~is_page_line(F.col("text"))).select(key, "page", "line_no", strip(F.col("text")).alias("text"))
 
 
 def full_width(content: DataFrame, key: str) -> DataFrame:

@@ -163,12 +163,6 @@ select book, case when a = '' then 'book' else a end as path_slug, case when b =
 m as (select doc_id, ord, text, {words('text')} as w, len(regexp_extract_all(text, {DIGITS})) as d from paragraphs_of),
 s as (select doc_id, count(*) as n, sum(w) as w, count(*) filter (w <= 7) as short, count(*) filter (w >= 25 and d < 0.05::double * len(text)) as prose, count(*) filter (w <= 7 and d > 0) as num, min_by(text, ord) as first, string_agg(text, ' ' order by ord) filter (ord < 8) as opening from m group by doc_id)
 select doc_id, (regexp_matches(first, {q(MATTER_TITLE)}) or (w < 300 and regexp_matches(opening, {q(MATTER_BODY)})) or (n >= 12 and short >= 0.6::double * n and prose < 3 and num >= 0.5::double * short)) as matter from s""",
-    "trailing_trim": f"""with {REFLOW},
-d as (select doc_id, ord, regexp_replace(case when ord % 3 <> 0 then regexp_extract(text, '^.{{0,24}}') else text end, '(\\p{{Nd}})', '\\1\\1\\1', 'g') as text from paragraphs_of),
-e as (select doc_id, ord, row_number() over (partition by doc_id order by ord) - 1 as i, count(*) over (partition by doc_id) as n, case when len(regexp_extract_all(text, {DIGITS})) / greatest(1, len(text)) >= 0.10::double then 1 else 0 end as dense from d),
-f as (select *, sum(dense) over (partition by doc_id order by ord rows between current row and 3 following) as ahead from e),
-g as (select doc_id, min(case when n >= 20 and i >= floor(n * 0.75::double) and dense = 1 and ahead >= 3 then i end) as cut from f group by doc_id)
-select f.doc_id, count(*) as kept from f join g using (doc_id) where cut is null or i < cut group by 1""",
     "chapter_split": f"""with recursive {CHAPTERS},
 o as (select *, (head and not coalesce(lag(head) over (partition by doc_id order by ord), true)) as opens from heads_of),
 g as (select *, sum(case when opens then 1 else 0 end) over (partition by doc_id order by ord) as island, bool_and(head) over (partition by doc_id) as lone from o),
@@ -211,3 +205,55 @@ select book, row_number() over (partition by book order by ord, pos) as play_ord
 k as (select book, chapter, row_number() over (partition by book, chapter order by idx) as pos, en from c where regexp_matches(en, '\\p{{L}}'))
 select book, chapter, pos, md5(regexp_replace({strip('en')}, '[ \\t\\r\\n]+', ' ', 'g')) as digest from k""",
 }
+
+#: The lines on pages of five under a head, in place of the lines as they are.
+HEADED = LINES.replace("\nlines as (", "\nplain_lines as (") + """,
+counted_lines as (select doc_id, row_number() over (partition by doc_id order by page, line_no) - 1 as n, text from plain_lines),
+lines as (select doc_id, n // 5 as page, n % 5 + 1 as line_no, text from counted_lines union all select doc_id, n // 5, 0, 'The  House by the Water ' || (n // 5 + 1) from counted_lines where n % 5 = 0)"""
+LISTED = f"""{PARS},
+first_words as (select book, file, min_by(en, idx) as first from pars group by all),
+spine_docs as (select book, file, row_number() over (partition by book order by file) as ord, first from first_words),
+headed as (select book, file, ord, ord || '. ' || regexp_extract(first, '^[A-Za-z ]{{0,20}}') as heading, ord % 7 = 0 as card from spine_docs),
+seconds as (select book from (select book, row_number() over (order by book) as n from (select distinct book from headed)) where n % 2 = 0),
+linked as (select h.book, h.file, h.ord, row_number() over (partition by h.book order by h.ord) - 1 as pos from headed h join seconds using (book) where ord % 3 <> 0),
+chosen as (select book from linked group by 1 having count(*) >= 2),
+entries as (
+  select h.book, h.file, h.ord, 'To ' || h.file as title from headed h join chosen using (book) join linked l using (book, file)
+  union all select h.book, h.file, h.ord, h.heading from headed h left join chosen c using (book) left join linked l using (book, file) where (c.book is null or l.file is null) and not h.card
+  union all select book, 'contents.xhtml', 0, 'Contents' from seconds where book in (select book from linked) and book not in (select book from chosen)),
+points as (
+  select book, ord, 0 as pos, title, file as href from entries where ord % 4 <> 0 or ord = 0
+  union all select book, ord, k, 'CHAPTER ' || k || ' of ' || file, file || '#c' || k from headed, (values (1), (2)) t(k) where ord % 4 = 0)"""
+MADE = f"""{PARS}, files_of as (select book, file, row_number() over (partition by book order by file) as ord from (select distinct book, file from pars)),
+first_pars as (select book, file, min_by(en, idx) as first from pars group by all)"""
+OFFLINE = "regexp_replace({}, '[A-Za-z]+', '译文', 'g')"
+COUNTS = FLAGS[FLAGS.index("counted as ("):]
+FAILED = f"""{EN.replace("pairs as (", "all_pairs as (")}, pairs as (select sha, en, {strip(OFFLINE.format('en'))} as zh from all_pairs where qa_state = 'failed' and en <> ''),
+{COUNTS}"""
+
+SQL |= {
+    "listed_contents_links": f"with {LISTED} select book, 'contents.xhtml' as page, pos::bigint as pos, file as target, 'To ' || file as title from linked",
+    "listed_pick_contents": f"with {LISTED} select book, 'contents.xhtml' as page from chosen",
+    "listed_merge_toc": f"with {LISTED} select book, file, ord, title from entries",
+    "listed_expand_toc": f"with {LISTED} select book, row_number() over (partition by book order by ord, pos) as play_order, title, href from points",
+    "package_rewrites": f"with {LISTED} select book, 'zh+en' as languages, row_number() over (partition by book order by ord, pos) as play_order, title, href from points",
+    "page_headings": f"""with {MADE} select book, file, case ord % 5 when 0 then 'Old Works' when 1 then 'CHAPTER ' || ord when 2 then ord || '. The Inn' when 3 then 'Part IV: The Mill' else 'Book two' end as heading, ord % 5 = 0 as other_works from files_of""",
+    "chapter_starts": f"""with {MADE} select book, file, case ord % 5 when 1 then 'CHAPTER ' || ord || ' — “THE LONG ROAD HOME”' when 2 then ord || '. The Inn' when 3 then 'Part IV: The Mill' else 'Book two' end as label, case when ord % 5 = 3 then 'x' else 'ebz-ch001' end as anchor from files_of where ord % 5 <> 0""",
+    "injected_pages": f"""with {SHOWN}, n as (select book, file, row_number() over (partition by book, file order by idx) - 1 as pos, zh, ok from shown where regexp_matches(en, '\\p{{L}}'))
+select book, file, pos, md5(regexp_replace(zh, '\\r\\n?', chr(10), 'g')) as digest from n where ok and zh <> ''""",
+    "large_classes": """with b as (select book, row_number() over (order by book) as n from books)
+select book, 'e' as class from b union all select book, unnest(['a' || n, 'b']) from b where n % 10 > 0 union all select book, 'd' || n from b where 9 + n % 12 > 16""",
+    "offline_translation": f"with {PARS}, e as (select distinct sha, en from pars where sha not in (select sha from translations) and {words('en')} > 0) select sha1(en) as sha, md5({strip(OFFLINE.format('en'))}) as digest, cast(null as varchar) as error from e",
+    "offline_verdicts": f"with {NOW} select sha, false as bad from cur where qa_state = 'l1flag'",
+    "offline_repairs": f"with {FAILED} select sha, len(flags) = 0 as taken from flagged",
+    "planted_heads": f"with {HEADS.replace(LINES, HEADED)} select doc_id, head, n from running",
+    "reflow_without_heads": f"with {REFLOW.replace(LINES, HEADED)} select doc_id, ord, md5(text) as digest from paragraphs_of",
+    "index_trim": f"""with {REFLOW},
+e as (select doc_id, ord, row_number() over (partition by doc_id order by ord) - 1 as i, count(*) over (partition by doc_id) as n, case when len(regexp_extract_all(text, {DIGITS})) / greatest(1, len(text)) >= 0.10::double then 1 else 0 end as dense from paragraphs_of),
+f as (select *, sum(dense) over (partition by doc_id order by ord rows between current row and 3 following) as ahead from e),
+g as (select doc_id, min(case when n >= 20 and i >= floor(n * 0.75::double) and dense = 1 and ahead >= 3 then i end) as cut from f group by doc_id)
+select f.doc_id, count(*) as kept from f join g using (doc_id) where cut is null or i < cut group by 1""",
+    "flagship": f"""with {REFLOW}, texts as (select distinct sha1(text) as sha, text as en from paragraphs_of where {words('text')} > 0),
+pairs as (select sha, en, {strip(OFFLINE.format('en'))} as zh from texts where sha not in (select sha from translations)),
+{COUNTS}, f as (select unnest(case when len(flags) = 0 then ['ok'] else flags end) as flag from flagged) select regexp_replace(flag, ':.*$', '') as flag, count(*) as n from f group by 1""",
+}
