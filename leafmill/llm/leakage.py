@@ -314,12 +314,16 @@ def held(items: Items, docs: Spread) -> np.ndarray:
     by_pair: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for doc, left, right in np.unique(np.concatenate(passages), axis=0).tolist():
         by_pair.setdefault((doc, int(a.text[left])), []).append((left, right))
-    found, texts = [], docs.text[docs.start]
+    found, texts, own = [], docs.text[docs.start], (-1, np.zeros(0, np.uint64))
     for (doc, item), parts in by_pair.items():
+        if sum(right - left + 1 for left, right in parts) < SHARE * items.size[item]:
+            continue  # too little, turns of phrase or not
         of = np.zeros(items.size[item], bool)
-        own = docs.term[docs.start[slice(*np.searchsorted(texts, [doc, doc + 1]))]]
+        if own[0] != doc:
+            own = (doc, np.sort(docs.term[docs.start[slice(*np.searchsorted(texts, [doc, doc + 1]))]]))
         for left, right in parts:
-            intact = np.isin(items.every[left : right + 1], own)
+            every = items.every[left : right + 1]
+            intact = own[1][np.minimum(np.searchsorted(own[1], every), len(own[1]) - 1)] == every
             if items.weight[left : right + 1][intact].mean() >= TELLING:
                 of[left - items.first[item] : right - items.first[item] + 1] = True
         if of.mean() >= SHARE:
