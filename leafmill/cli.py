@@ -15,6 +15,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="leafmill", description=__doc__)
     p.add_argument("step", choices=STEPS)
     p.add_argument("--shelf", default=pipeline.default_root(), help="folder of the tables (LEAFMILL_HOME, else the user's data folder)")
+    p.add_argument("--adopt", help="an older folder whose content is moved to the shelf first, as far as it isn't there")
     p.add_argument("--epub", help="folder or file of EPUB archives")
     p.add_argument("--pdf", help="folder or file of PDF files with a text layer")
     p.add_argument("--book", help="a book of the shelf; remembered for steps that name none")
@@ -47,6 +48,8 @@ def main(argv: list[str] | None = None) -> None:
 
     o = parser().parse_args(argv)
     spark = session()
+    if o.adopt:
+        print("moved:", *pipeline.adopt(o.adopt, o.shelf))
     shelf = pipeline.Shelf(spark, o.shelf)
     backend = Command(o.command, o.timeout) if o.command else Offline()
     whole = o.step == "run"

@@ -94,6 +94,25 @@ def default_root() -> str:
     return home or str(Path(os.environ.get("XDG_DATA_HOME") or Path.home() / ".local" / "share") / "leafmill")
 
 
+def adopt(old: str, new: str | None = None) -> list[str]:
+    """Move what an older folder holds to the shelf's, and return the names. What is there already is never overwritten
+    and stays where it was; links to the new place go, and so does the old folder once it is empty."""
+    source, target, moved = Path(old), Path(new or default_root()), []
+    if not source.is_dir() or source.resolve() == target.resolve():
+        return moved
+    target.mkdir(parents=True, exist_ok=True)
+    for entry in sorted(source.iterdir()):
+        place = target / entry.name
+        if entry.is_symlink() and place.exists() and entry.resolve() == place.resolve():
+            entry.unlink()
+        elif not (place.exists() or place.is_symlink()):
+            entry.rename(place)
+            moved.append(entry.name)
+    if not any(source.iterdir()):
+        source.rmdir()
+    return moved
+
+
 def resolve(shelf: Shelf, book: str | None = None, source: str | None = None) -> str | None:
     """The book a step works on: the one named, else the one made from a source, else the one last worked on."""
     if not book and source:

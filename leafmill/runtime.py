@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _OWN_DIRS: dict[str, str] = {}
+_SCRATCHED: set[str] = set()
 
 
 def session(name: str = "leafmill", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -54,9 +55,23 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+def _remove_shared(spark: SparkSession, path: str) -> None:
+    """At the end of the program, what it has staged; a program that was killed leaves its folder, named by its id."""
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+    except Exception:  # the JVM is gone already
+        pass
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/leafmill/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, in a folder of the application that goes when the program ends."""
+    app = spark.sparkContext.applicationId
+    own = f"{shared_dir(spark)}/leafmill/{app}"
+    if app not in _SCRATCHED:
+        _SCRATCHED.add(app)
+        atexit.register(_remove_shared, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -199,3 +199,8 @@ def translatable(document: Document, tags: tuple[str, ...] = TAGS) -> list[int]:
         if after > e.last and "illus" not in e.cls and not e.translated and any(c.isalpha() for c in document.text(k)):
             out.append(k)
     return out
+
+
+def body_paragraphs(document: Document) -> list[int]:
+    """The ``p`` elements in document order that are no illustration or translation and have a letter."""
+    return [k for k, e in enumerate(document.elements) if e.tag == "p" and "illus" not in e.cls and not e.translated and any(map(str.isalpha, document.text(k)))]

@@ -5,7 +5,10 @@ import pytest
 from leafmill.operators import model
 from leafmill.plans import pipeline
 from leafmill.sinks import epub
-from tests.test_markup import doc
+
+
+def doc(body):
+    return f'<?xml version="1.0"?><html xmlns="http://www.w3.org/1999/xhtml"><head/><body>{body}</body></html>'.encode()
 
 
 @pytest.fixture
@@ -81,3 +84,40 @@ def test_titles_of_files():
     from leafmill.sources.pdf import title_of
 
     assert title_of("Creator: x\nTitle:   A: Tale \nPages: 3") == "A: Tale" and title_of("Title: \n") is None and title_of("") is None
+
+
+def test_older_folders_are_adopted_and_nothing_is_overwritten(tmp_path):
+    old, new = tmp_path / "old", tmp_path / "new"
+    for path, said in ((old / "a" / "f", "1"), (old / "b", "old"), (new / "b", "new")):
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(said)
+    (old / "link").symlink_to(new / "b")
+    (new / "link").symlink_to(new / "b")
+    assert pipeline.adopt(str(old), str(new)) == ["a"] and (new / "b").read_text() == "new" and [p.name for p in old.iterdir()] == ["b"]
+    (old / "b").unlink()
+    assert pipeline.adopt(str(old), str(new)) == [] and not old.exists() and pipeline.adopt(str(old), str(new)) == []
+
+
+def test_body_paragraphs():
+    from leafmill.sources.markup import body_paragraphs, read
+
+    d = read(doc('<p>One</p><blockquote><p>Two</p></blockquote><p class="zh">二</p><p class="illus">No</p><p>…</p><li>Three</li>'))
+    assert [d.text(k) for k in body_paragraphs(d)] == ["One", "Two"]
+
+
+def test_the_command_line_runs_only_what_is_open(spark, tmp_path, monkeypatch, capsys):
+    from leafmill import cli
+
+    written(tmp_path / "in", "A Tale", " ".join(["word"] * 160))
+    calls = []
+    for step in ("extract_epubs", "build_glossary"):
+        plain = getattr(pipeline, step)
+        monkeypatch.setattr(pipeline, step, lambda *a, plain=plain, step=step, **k: calls.append(step) or plain(*a, **k))
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    common = ["run", "--shelf", f"file://{tmp_path}/shelf", "--out", f"file://{tmp_path}/out"]
+    cli.main([*common, "--epub", str(tmp_path / "in")])
+    assert calls == ["extract_epubs", "build_glossary"] and "a-tale - Bilingual EN-ZH.epub" in capsys.readouterr().out
+    cli.main(common)
+    assert calls == ["extract_epubs", "build_glossary"]  # units and a glossary are there
+    cli.main(["status", "--shelf", f"file://{tmp_path}/shelf"])
+    assert "a-tale" in capsys.readouterr().out
