@@ -9,8 +9,8 @@ of the corpus never stop is unfinished. The share of the characters under each t
 The field is fitted on a bounded sample (``SAMPLE`` responses, ``ODD`` that look odd and ``REPEATED`` that answer several
 prompts, chosen by a hash). Nobody has labelled clauses, so the sample's labels come from plain rules, and unfinished
 clauses are made by cutting whole ones (clauses with others behind them) at random places, with any mark behind the cut.
-Refusals are known in two ways: by some wordings, and, whatever the wording, as a response that stands under
-``PROMPTS`` or more different prompts and says nothing of theirs, no name, number or glossary word. The glossary words that
+Refusals are known in two ways: by some wordings, and, whatever the wording, as a response of which a clause stands under
+``PROMPTS`` or more different prompts and no clause says anything of theirs, no name, number or glossary word. The glossary words that
 are folded are those of the sample's prompts, so they are as bounded as it is. Everything else covers all versions.
 
 Defined results: a null or empty response is ``empty``; a response without letter, digit or Chinese character is too;
@@ -78,6 +78,10 @@ def clauses(text: str) -> list[str]:
     return out
 
 
+def letters_of(clause: str) -> str:
+    return "".join(WORD.findall(clause.lower()))
+
+
 class Tagger:
     """What the features of clauses are made from."""
 
@@ -88,7 +92,7 @@ class Tagger:
         self.signs = {c for options in aligner.names.table.values() for chars, _ in options[:1] for c in chars}
         run = "[A-Za-zÀ-ɏ'’\\-]{2,}"
         self.name_run = re.compile(run + "|[" + "".join(map(re.escape, sorted(self.signs))) + "]{2,}") if self.signs else re.compile(run)
-        self.repeated: frozenset[str] = frozenset()  # responses of the sample that stand under several prompts
+        self.repeated: frozenset[str] = frozenset()  # letters of the sample's clauses that stand under several prompts
         self._things = None
 
     def __getstate__(self) -> dict:
@@ -241,8 +245,8 @@ def training(tagger: Tagger, rows: list[tuple[str, str | None]], seed: int = 5)
             continue
         prompt = tagger.prompt(en)
         labels = [rule_label(p, prompt[1]) for p in parts]
-        if zh in tagger.repeated:
-            labels = [REFUSAL if y == ANSWER and tagger.apart(p, prompt) or y == FOREIGN and LATIN.search(p.lower()) and tagger.apart(p, prompt) else y for p, y in zip(parts, labels)]
+        if any(letters_of(p) in tagger.repeated for p in parts) and all(tagger.apart(p, prompt) for p in parts):
+            labels = [REFUSAL if y == ANSWER or (y == FOREIGN and LATIN.search(p.lower())) else y for p, y in zip(parts, labels)]
         plain = all(y == ANSWER for y in labels)
         if not plain or len(parts) == 1:
             stops = re.search("[。！？!?”）]|(?<![.])[.]$", END.search(zh.strip()).group())
@@ -315,13 +319,17 @@ def fit(versions: DataFrame, english: DataFrame, aligner: Aligner, rewrites: dic
     sample = stage(hashed.join(picked, "h").dropDuplicates(["h", "k"]).select("sha", "zh", F.xxhash64("zh").alias("z")), "sample")  # small, and read twice
     sample = sample.join(again.withColumn("again", F.lit(True)), "z", "left")
     own = english.join(F.broadcast(sample.select("sha").distinct()), "sha", "left_semi").groupBy("sha").agg(F.min("en").alias("en"))
-    rows = sorted(((r.zh, r.en, bool(r.again)) for r in sample.join(own, "sha", "left").select("zh", "en", "again").collect()), key=lambda r: (r[0], r[1] or ""))
+    rows = sorted(((r.zh, r.en, bool(r.again), r.sha or "") for r in sample.join(own, "sha", "left").select("sha", "zh", "en", "again").collect()), key=lambda r: (r[0], r[1] or "", r[3]))
     form = Rewriter(rewrites)
     if glossary is not None:
-        aligner = with_words_of(aligner, glossary, [form(en) for _, en, _ in rows if en])
+        aligner = with_words_of(aligner, glossary, [form(en) for _, en, *_ in rows if en])
     tagger = Tagger(aligner)
-    tagger.repeated = frozenset(form(zh) for zh, _, again in rows if again)
-    xs, ys = training(tagger, [(form(zh), form(en)) for zh, en, _ in rows])
+    prompts: dict[str, set[str]] = {}
+    for zh, _, again, sha in rows:
+        for part in clauses(form(zh)):
+            prompts.setdefault(letters_of(part), set()).update((sha, "", " ") if again else (sha,))
+    tagger.repeated = frozenset(part for part, of in prompts.items() if len(of) >= PROMPTS)
+    xs, ys = training(tagger, [(form(zh), form(en)) for zh, en, *_ in rows])
     tagger.repeated = frozenset()
     return tagger, Crf(5).fit(xs, ys)
 

@@ -120,3 +120,28 @@ def test_sample_has_long_refusals_and_no_place_for_copies(spark, monkeypatch):
     aligner = Aligner(Transliterator.fit([(a.lower(), b) for a, b in NAMES.items()]), {k: [v] for k, v in THINGS.items()})
     pair_defects.fit(frame, spark.createDataFrame([], "sha string, en string"), aligner, {})
     assert refusal in {zh for zh, _ in seen[0]} and len({zh for zh, _ in seen[0]}) >= 30
+
+
+def test_refusals_whose_wording_no_rule_knows(spark, monkeypatch):
+    """All wordings are left out of the rules; the field learns them from responses that recur and say nothing of their prompts."""
+    import re
+
+    from leafmill.llm import pair_defects
+
+    monkeypatch.setattr(pair_defects, "REFUSALS", re.compile("(?!)"))
+    rng = random.Random(5)
+    openings, ends = ["这段文字我帮不上忙", "此事恕不奉陪", "我做不了这件事", "这个要求不在我的职责之内"], ["。", "！", "，请另请高明。", "，还望海涵。"]
+    rows = []
+    for i in range(500):
+        part = [sentence(rng) for _ in range(rng.randint(2, 4))]
+        refused = i % 10 == 0
+        rows.append((f"s{i}", rng.choice(openings[:3]) + rng.choice(ends) if refused else "".join(z for _, z in part) + ("天色渐渐暗了下来。" if i % 3 == 0 else ""), " ".join(e for e, _ in part), refused))
+    versions = spark.createDataFrame([r[:2] for r in rows], "sha string, zh string")
+    english = spark.createDataFrame([(r[0], r[2]) for r in rows], "sha string, en string")
+    aligner = Aligner(Transliterator.fit([(a.lower(), b) for a, b in NAMES.items()] * 3), {k: [v] for k, v in THINGS.items()})
+    tagger, crf = pair_defects.fit(versions, english, aligner, {})
+    new = [(sentence(rng)[0], o + e) for o in openings[:3] for e in ends for _ in range(3)]
+    found = judged(spark, (tagger, crf), new)
+    assert sum(d == "refusal" for d in found) >= 0.9 * len(new)
+    plain = [tuple("".join(x) for x in zip(*[sentence(rng) for _ in range(3)])) for _ in range(40)]
+    assert sum(d == "refusal" for d in judged(spark, (tagger, crf), plain)) == 0
