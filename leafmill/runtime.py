@@ -86,7 +86,9 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, once for each application."""
+    """Make this package importable in the Python workers, once for each application. Arrow batches get their usual size
+    again, in case an operator over large rows was built before."""
+    tune_arrow(spark)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
