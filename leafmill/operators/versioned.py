@@ -217,8 +217,10 @@ class VersionedTable:
         place = "struct<file:string,pos:bigint,born:bigint>"
         if not files:
             merged = newest.withColumn("dead", F.lit(None).cast(place)).withColumn("old", F.lit(None).cast(newest.schema["new"].dataType))
-        else:  # of the rows a key ever had the last born stands
-            ever = self._rows(files).select(*self.key, F.struct(F.col(BORN).alias("born"), F.col(FILE).alias("file"), F.col(POS).alias("pos"), self._rank(order, F.col("_vt_arrived")).alias("old")).alias("was"))
+        else:  # of the rows a key ever had the last born stands, unless its file was removed with it
+            dropped = any(m.data_change and m.removed for m in map(self.manifest, self.versions()))
+            found = self._live(files, self._state(version - 1)[1]) if dropped else self._rows(files)
+            ever = found.select(*self.key, F.struct(F.col(BORN).alias("born"), F.col(FILE).alias("file"), F.col(POS).alias("pos"), self._rank(order, F.col("_vt_arrived")).alias("old")).alias("was"))
             last = newest.join(ever, self.key, "left").groupBy(*self.key).agg(F.max("new").alias("new"), F.max("was").alias("was"))
             dead = F.when(F.col("was").isNotNull(), F.struct(F.col("was.file").alias("file"), F.col("was.pos").alias("pos"), F.col("was.born").alias("born")).cast(place))
             merged = last.select(*self.key, "new", F.col("was.old").alias("old"), dead.alias("dead"))
@@ -261,6 +263,10 @@ class VersionedTable:
                 return self._rewrite([f for files in runs for f in files], size)
         return version
 
+    def remove_files(self, files: list[str]) -> int:
+        """Take files, and so the records that stand in them, out of the table."""
+        return self._commit(Manifest(self.latest() + 1, [], list(files), [], True))
+
     def compact(self) -> int:
         """Rewrite the standing rows without dead ones. No record changes: rows keep the version they were born in."""
         files = [(f, n) for run, _ in self._runs(self.latest()) for f, n in run.items()]

@@ -143,3 +143,18 @@ def test_merged_runs_change_no_record(spark, tmp_path):
         before, after = standing[a], standing[b]
         assert got == {(i, "changed" if i in before else "new") for i in after if i not in before or before[i][2:] != after[i][2:]}
     assert {(r.id, r.state, r.attempts) for r in t.read().collect()} == {(i, v[2], v[3]) for i, v in standing[-1].items()}
+
+
+def test_removed_files_take_their_records_with_them(spark, tmp_path):
+    t = table(spark, tmp_path / "t")
+    t.append_log(log(spark, [(1, "a", 0, 1, 1), (2, "a", 0, 1, 1), (3, "a", 0, 1, 1)]), F.col("landed_at"))
+    t.append_log(log(spark, [(1, "b", 0, 2, 2), (4, "a", 0, 2, 2)]), F.col("landed_at"))
+    t.remove_files(t.manifest(1).added)
+    got = lambda a, b: {(r.id, r.change) for r in t.changes(a, b).collect()}
+    assert got(1, 3) == {(1, "changed"), (2, "gone"), (3, "gone"), (4, "new")} and got(2, 3) == {(2, "gone"), (3, "gone")} and got(0, 3) == {(1, "new"), (4, "new")}
+    t.append_log(log(spark, [(2, "c", 0, 0, 3)]), F.col("landed_at"))
+    assert got(3, 4) == {(2, "new")} and got(2, 4) == {(2, "changed"), (3, "gone")}
+    t.remove_files(t.manifest(2).added)
+    assert got(4, 5) == {(1, "gone"), (4, "gone")} and {r.id for r in t.read().collect()} == {2}
+    t.append_log(log(spark, [(1, "z", 0, 0, 4)]), F.col("landed_at"))
+    assert {(r.id, r.state) for r in t.read().collect()} == {(1, "z"), (2, "c")} and got(5, 6) == {(1, "new")}
