@@ -33,7 +33,7 @@ from leafmill.runtime import load, ship, stage
 
 CAPACITY = 2048
 TARGET = 4_000_000
-MOST = 1_000_000
+MOST = 250_000
 FAN = 16
 LOOSE = 8  # containers that a partition gives to an exchange for each one above its bound, and at least
 ROUNDINGS = 24  # how fine the rounding dual feasible functions go
