@@ -24,15 +24,18 @@ def written(folder, name, words):
     (folder / f"{name}.epub").write_bytes(epub.zipped({"mimetype": b"application/epub+zip", "META-INF/container.xml": epub.CONTAINER.encode(), "OEBPS/content.opf": opf.encode(), **pages}))
 
 
-class Titled:
-    """Says which titles it was told of."""
+def titled():
+    class Titled:  # local, so that it travels to the workers by value
+        """Says which titles it was told of."""
 
-    def complete(self, system, payload):
-        if system.startswith(model.GLOSSARY_PROMPT):
-            return json.dumps({"Anna Karen": "安娜 " + system.rsplit('"', 2)[1]}, ensure_ascii=False)
-        if system == model.JUDGE_PROMPT:
-            return json.dumps([{"faithful": 2}] * len(payload.split(model.SEPARATOR)))
-        return f"\n{model.SEPARATOR}\n".join("译 " + system.split("Names: ")[-1][:60] for _ in payload.split(model.SEPARATOR))
+        def complete(self, system, payload):
+            if system.startswith(model.GLOSSARY_PROMPT):
+                return json.dumps({"Anna Karen": "安娜 " + system.rsplit('"', 2)[1]}, ensure_ascii=False)
+            if system == model.JUDGE_PROMPT:
+                return json.dumps([{"faithful": 2}] * len(payload.split(model.SEPARATOR)))
+            return f"\n{model.SEPARATOR}\n".join("译 " + system.split("Names: ")[-1][:60] for _ in payload.split(model.SEPARATOR))
+
+    return Titled()
 
 
 def test_all_books_at_once(shelf, tmp_path):
@@ -44,11 +47,11 @@ def test_all_books_at_once(shelf, tmp_path):
     assert found["units"] == 4 and len(books) == 2 and books[0] == "a-tale" and books[1].startswith("a-tale-")  # two files of one name are two books
     pipeline.extract_epubs(shelf, str(tmp_path / "in"))
     assert sorted(r.book for r in shelf.table("books").collect()) == books and shelf.paragraphs().count() == found["paragraphs"]
-    assert pipeline.build_glossary(shelf, None, Titled()) == 2
-    assert pipeline.translate(shelf, None, Titled()) == {"done": 4}
+    assert pipeline.build_glossary(shelf, None, titled()) == 2
+    assert pipeline.translate(shelf, None, titled()) == {"done": 4}
     zh = {r.book: r.zh for r in shelf.translations().collect()}
     assert set(zh) == set(books) and all("Anna Karen=>安娜 A Tale" in v for v in zh.values())
-    states = pipeline.check(shelf, None, Titled(), share=1.0, report=f"{tmp_path}/report")
+    states = pipeline.check(shelf, None, titled(), share=1.0, report=f"{tmp_path}/report")
     assert "untested" not in states and sum(states.values()) == shelf.translations().count()
     assert {p.name for p in (tmp_path / "report").iterdir()} == {f"{b} qa.md" for b in books}
     out = epub.save(pipeline.export(shelf, None, font="", normalize=False, zh_style="color: red;"), f"file://{tmp_path}/out").collect()
